@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import jaccard_join
+from palimpsest.llm import jaccard_join, quality_rules, sentence_pieces, shared, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +19,27 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(_table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
+def op2_token_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_output.write(_table(spark, sf_dir, "documents"), shared.shared_dir(spark), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_output.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentence_pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_dac, op4_quality_rules, op8_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
