@@ -9,6 +9,10 @@ has more empty ones than the slack of its smallest partner does it emit those to
 share a full one.
 So no link is missed, and every candidate pair is checked on the sets themselves.
 
+That slack also lets every set leave out some signatures of its choice, those in the largest buckets, which passages that
+many documents share would fill. Pairs are first held against sketches (counts of features in ranges of the domain), which
+bound their distance from below, then against the sets.
+
 Within a signature's bucket, members are compared with its smallest member first. Whatever that joins is one component;
 further pairs of a bucket are compared only across components, and only where the triangle inequality of the Jaccard
 distance, through the smallest member, lets them link. So a bucket of thousands of near copies costs a comparison each.
@@ -21,12 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import shared, words
 
 U = np.uint64
+#: Partitions beyond the least number that a set emits, as a part of it.
+SLACK = 0.25
 
 
 def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -44,21 +50,35 @@ def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def _key(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a set."""
-    return int(s.sum(dtype=np.uint64).view(np.int64)), int(words.mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))
+def _key(s: np.ndarray) -> int:
+    """64 bits that stand for a set: of n different sets two share them with a chance of n**2 / 2**65."""
+    return int(words.mix(words.mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64, keepdims=True) + s.sum(dtype=np.uint64)).view(np.int64)[0])
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Features counted in about len/4 equal ranges of the domain, a power of two, 255 at most each."""
+    k = max(0, (len(s) // 4).bit_length() - 1)
+    if not k:
+        return bytes([min(len(s), 255)])
+    return np.minimum(np.bincount((s >> U(64 - k)).astype(np.int64), minlength=1 << k), 255).astype(np.uint8).tobytes()
 
 
-def _ids(batch: pa.RecordBatch) -> list:
-    return batch.column(0).to_pylist()
+def least_difference(a: bytes, b: bytes) -> int:
+    """Two sets differ in so many features at least: each range's counts differ by no more than its features do."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int32) for v in (a, b))
+    while len(x) > len(y):
+        x = x.reshape(-1, 2).sum(1)
+    while len(y) > len(x):
+        y = y.reshape(-1, 2).sum(1)
+    return int(np.abs(x - y).sum())
 
 
-def _summaries(n: int):
+def _summaries(n: int, bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in shared.chunks(batches, "text"):
             sets = _sets(texts, n)
-            keys = [_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=["doc_id", "n_shingles", "k1", "k2"])
+            drops = [(droppable(s, bands) if len(s) else []) + [(None, None)] * 2 for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([d[0][0] for d in drops], pa.int32()), pa.array([d[0][1] for d in drops], pa.int32()), pa.array([d[1][1] for d in drops], pa.int32())], names=["doc_id", "n_shingles", "node", "sketch", "band", "drop", "drop_below"])
 
     return run
 
@@ -87,7 +107,7 @@ class Bands:
     def emitted(self, m: int) -> tuple[int, int]:
         """Partitions that a set of m emits, and the slack among them."""
         d = self.differing(m)
-        slack = math.ceil(0.04 * d) + 1
+        slack = math.ceil(SLACK * d) + 1
         return d + 1 + slack, slack
 
     def partitions(self, j: int) -> int:
@@ -95,35 +115,54 @@ class Bands:
         return self.emitted(math.floor((self.low(j + 1) - 1) / self.t + 1e-9))[0]
 
 
+def _cuts(s: np.ndarray, bands: Bands, j: int) -> np.ndarray:
+    """Where the partitions that a set emits in an instance begin and end in it."""
+    total, count = bands.partitions(j), bands.emitted(len(s))[0]
+    count = min(count, total)
+    bounds = np.searchsorted(s, np.arange(1, count + 1, dtype=np.uint64) * U((1 << 64) // total), "left")
+    if count == total:
+        bounds[-1] = len(s)
+    return np.concatenate([[0], bounds])
+
+
+def _spare(s: np.ndarray, bands: Bands) -> int:
+    """The slack of a set's smallest partner."""
+    return bands.emitted(math.ceil(bands.t * len(s) - 1e-9))[1]
+
+
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The signatures of one set."""
-    out = []
-    slack = bands.emitted(math.ceil(bands.t * len(s) - 1e-9))[1]  # of the smallest partner
+    """The signatures of one set; the lowest 8 bits name the instance."""
+    out, spare = [], _spare(s, bands)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mix(s + U(0x9E3779B97F4A7C15)))])
     for j in bands.of(len(s)):
-        total, count = bands.partitions(j), bands.emitted(len(s))[0]
-        bounds = np.searchsorted(s, np.arange(1, count + 1, dtype=np.uint64) * U((1 << 64) // total), "left")
-        if count == total:
-            bounds[-1] = len(s)
-        bounds = np.concatenate([[0], bounds])
+        bounds = _cuts(s, bands, j)
         full = bounds[1:] > bounds[:-1]
+        count = len(full)
         salt = U((j * 0x10001 + 1) * 0xD1342543DE82EF95 % (1 << 64))
-        sig = words.mix((sums[bounds[1:]] - sums[bounds[:-1]]) + salt) + words.mix(np.arange(count, dtype=np.uint64) + U(j << 32))
-        out.append(words.mix(sig if count - full.sum() > slack else sig[full]))
+        sig = words.mix(words.mix(sums[bounds[1:]] - sums[bounds[:-1]] + salt) + words.mix(np.arange(count, dtype=np.uint64) + U(j << 32)))
+        sig = (sig & ~U(255)) | U(j & 255)
+        out.append(sig if count - full.sum() > spare else sig[full])
     return np.concatenate(out)
 
 
+def droppable(s: np.ndarray, bands: Bands) -> list[tuple[int, int]]:
+    """(instance, number of signatures that the set may leave out there). Sets that link share over spare - empty full
+    ones; if each leaves out half of that at most, whichever it likes, one remains in both."""
+    spare = _spare(s, bands)
+    return [(j & 255, max(0, (spare - int(np.count_nonzero(np.diff(_cuts(s, bands, j)) == 0))) // 2)) for j in bands.of(len(s))]
+
+
 def _signed(n: int, bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # of this task: an equal set needs its signatures once
-        for part, texts in shared.chunks(batches, "text"):
-            ids, sigs, owners = _ids(part), [], []
-            for doc, s in zip(ids, _sets(texts, n), strict=True):
-                if doc is None or not len(s) or (key := _key(s)) in seen:
+        seen: set[int] = set()  # of this task: an equal set needs its signatures once
+        for _, texts in shared.chunks(batches, "text"):
+            sigs, owners = [], []
+            for s in _sets(texts, n):
+                if not len(s) or (key := _key(s)) in seen:
                     continue
                 seen.add(key)
                 sigs.append(signatures(s, bands))
-                owners.append(np.full(len(sigs[-1]), doc, np.int64))
+                owners.append(np.full(len(sigs[-1]), key, np.int64))
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owners))], names=["sig", "node"])
 
@@ -163,85 +202,102 @@ def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([a, b, pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "union"])
 
 
+def _bounds(percent: int):
+    """The least distance that sizes and sketches leave for a pair, and whether it may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy().astype(float) for i in (2, 4))
+            low = 1 - np.minimum(na, nb) / np.maximum(na, nb)
+            may = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+            for i in np.flatnonzero(may):
+                d, both = least_difference(batch.column(3)[i].as_py(), batch.column(5)[i].as_py()), na[i] + nb[i]
+                low[i] = max(low[i], 2 * d / (both + d))
+                may[i] = (100 + percent) * d <= (100 - percent) * both
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low), pa.array(may)], names=["a", "b", "low", "may"])
+
+    return run
+
+
 def _blobs(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in shared.chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in _sets(texts, n)], pa.binary())], names=["node", "set"])
+        for _, texts in shared.chunks(batches, "text"):
+            sets = _sets(texts, n)
+            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
     return run
 
 
 def similar_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs with a doc_id.
+    """doc_id, n_shingles, component_id of every row of docs.
 
     Words are runs of anything but ASCII white space, A-Z as a-z; a text's set is its distinct shingles, with fewer words
     the whole sequence as one. Two documents link when 100 * |a and b| >= percent * |a or b|; component_id is the smallest
-    doc_id that links reach. Defined results: null, empty and blank texts have n_shingles 0 and are alone; rows without a
-    doc_id are left out; a doc_id with several rows is one row, of its smallest text by set; equal texts are in one
-    component; an empty table gives no rows; other columns are ignored. Texts of any length are read whole."""
+    doc_id that links reach. Defined results: null, empty and blank texts have n_shingles 0 and are alone; a null doc_id
+    stays null and never is a component's id, unless all of it are null; every row is judged by its own text, so repeated
+    rows and doc_ids stay; equal texts are in one component; an empty table gives no rows; other columns are ignored. Texts
+    of any length are read whole."""
     spark = docs.sparkSession
     shared.bounded_batches(spark)
     folder = shared.shared_dir(spark)
     bands = Bands(percent / 100)
-    read = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
-    rows = shared.written(read.mapInArrow(_summaries(shingle), "doc_id long, n_shingles long, k1 long, k2 long"), folder, "rows")
-    # equal sets are one class; its smallest doc_id stands for it
-    classes = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    copies = shared.written(
-        rows.where("n_shingles > 0").join(classes.where("size > 1"), ["k1", "k2"]).select(F.col("doc_id").alias("node"), "rep"), folder, "copies"
-    )
+    rows = shared.written(read.mapInArrow(_summaries(shingle, bands), "doc_id long, n_shingles long, node long, sketch binary, band int, drop int, drop_below int"), folder, "rows")
+    # equal sets are one node
+    full = rows.where("node is not null")
+    nodes = shared.written(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("band").alias("band"), F.first("drop").alias("drop"), F.first("drop_below").alias("drop_below")), folder, "nodes")
 
     signed = read.mapInArrow(_signed(shingle, bands), "sig long, node long")
-    buckets = shared.written(
-        signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared_rows, "sig long, node long")
-        .join(copies, "node", "left").select("sig", F.coalesce("rep", "node").alias("node")).distinct(),
-        folder, "buckets",
-    )
+    buckets = shared.written(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared_rows, "sig long, node long").distinct(), folder, "buckets")
+    # each set leaves out its signatures in the largest buckets, as far as no link is lost: common passages alone fill those
+    crowds = buckets.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
+    by_size = Window.partitionBy("node", "instance").orderBy(F.desc("size"), "sig")
+    ranked = buckets.join(crowds, "sig").withColumn("instance", F.expr("sig & 255")).withColumn("place", F.row_number().over(by_size))
+    limits = nodes.select("node", "band", "drop", "drop_below")
+    buckets = shared.written(ranked.join(limits, "node").where("place > if(instance = band, drop, drop_below)").select("sig", "node"), folder, "thinned")
     led = buckets.groupBy("sig").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1").drop("size")
     members = shared.written(buckets.join(led, "sig").where("node <> leader"), folder, "members")
 
-    sizes = rows.select(F.col("doc_id").alias("node"), "n_shingles")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Only sets of near sizes can link."""
-        n = sizes.withColumnRenamed("node", "a").withColumnRenamed("n_shingles", "na")
-        m = sizes.withColumnRenamed("node", "b").withColumnRenamed("n_shingles", "nb")
-        return pairs.join(n, "a").join(m, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
-
     def checked(pairs: DataFrame, name: str) -> DataFrame:
-        """a, b, and what their sets have in common."""
-        pairs = shared.written(pairs, folder, f"{name}_pairs")
-        wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = shared.written(read.join(wanted, "doc_id", "left_semi").mapInArrow(_blobs(shingle), "node long, set binary"), folder, f"{name}_sets")
+        """a, b, and what their sets have in common, for the pairs that may link."""
+        a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        sketched = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "sa", "nb", "sb")
+        bounded = shared.written(sketched.mapInArrow(_bounds(percent), "a long, b long, low double, may boolean"), folder, f"{name}_pairs")
+        pairs = bounded.where("may").select("a", "b")
+        wanted = nodes.join(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi")
+        wanted = wanted.select(F.col("doc_id").alias("wanted")).distinct()
+        sets = shared.written(read.join(wanted, F.expr("doc_id <=> wanted"), "left_semi").mapInArrow(_blobs(shingle), "node long, set binary"), folder, f"{name}_sets")
         left = sets.select(F.col("node").alias("a"), F.col("set").alias("left"))
         right = sets.select(F.col("node").alias("b"), F.col("set").alias("right"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-        return shared.written(both.mapInArrow(_similarities, "a long, b long, common long, union long"), folder, name)
+        found = both.mapInArrow(_similarities, "a long, b long, common long, union long").distinct()
+        return shared.written(bounded.join(found, ["a", "b"], "left"), folder, name)
 
-    first = checked(sized(members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()), "first")
+    first = checked(members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "first")
     linked = F.expr(f"100 * common >= {percent} * union")
-    ties = copies.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    links = first.where(linked).select("a", "b")
+    links = first.where(linked).select("a", "b").distinct()
     groups = shared.written(shared.components(links, folder), folder, "groups")
 
-    # what the smallest members leave open: pairs of a bucket in different components
-    far = F.coalesce(F.expr("1 - common / union"), F.lit(1.0))
-    seats = members.join(first.select(F.col("a").alias("leader"), F.col("b").alias("node"), "common", "union"), ["leader", "node"], "left").select("sig", "node", far.alias("far"))
-    seats = seats.join(groups, "node", "left").select("sig", "node", "far", F.coalesce("component", "node").alias("component"))
+    # What the smallest members leave open: pairs of a bucket in different components. By the triangle inequality two
+    # members can link only if their distances from the leader differ by no more than the most distance of a link.
+    exact = F.expr("1 - common / union")
+    distances = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.coalesce(exact, "low").alias("lo"), F.coalesce(exact, F.lit(1.0)).alias("hi"))
+    seats = members.join(distances, ["leader", "node"]).select("sig", "node", "lo", "hi")
+    seats = seats.join(groups, "node", "left").select("sig", "node", "lo", "hi", F.coalesce("component", "node").alias("component"))
     several = seats.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    seats = shared.written(seats.join(several, "sig", "left_semi").join(sizes, "node"), folder, "seats")
-    x = seats.select("sig", F.col("node").alias("a"), F.col("far").alias("fa"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-    y = seats.select("sig", F.col("node").alias("b"), F.col("far").alias("fb"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-    # a leader too unlike in size was not compared: its distance counts as 1, which says nothing, so such rows stay
+    seats = seats.join(several, "sig", "left_semi").join(nodes.select("node", "n"), "node")
+    seats = shared.written(seats, folder, "seats")
+    x = seats.select("sig", F.col("node").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.col("component").alias("ca"), F.col("n").alias("na"))
+    y = seats.select("sig", F.col("node").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.col("component").alias("cb"), F.col("n").alias("nb"))
     open_pairs = x.join(y, "sig").where(
-        f"a < b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and (fa = 1.0 or fb = 1.0 or abs(fa - fb) <= {1 - percent / 100} + 1e-9)"
+        f"a < b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and greatest(la - hb, lb - ha) <= {1 - percent / 100} + 1e-9"
     )
     more = checked(open_pairs.select("a", "b").distinct(), "more").where(linked).select("a", "b")
-    last = shared.written(shared.components(links.unionByName(more).unionByName(ties), folder), folder, "components")
-    shared.forget(spark, folder, "buckets", "members", "groups", "seats", "first_sets", "more_sets", "first_pairs", "more_pairs")
-    return (
-        rows.groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles"))
-        .join(last.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    )
+    joined = shared.written(shared.components(links.unionByName(more), folder), folder, "components")
+    smallest = full.join(joined, "node").groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    named = joined.join(smallest, "component").select("node", "smallest").unionByName(nodes.join(joined, "node", "left_anti").select("node", F.col("doc_id").alias("smallest")))
+    out = shared.written(rows.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id")), folder, "out")
+    shared.forget(spark, folder, "rows", "nodes", "buckets", "thinned", "members", "groups", "components", "seats", "first", "first_sets", "first_pairs", "more", "more_sets", "more_pairs")
+    return out
