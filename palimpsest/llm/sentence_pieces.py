@@ -28,7 +28,7 @@ END = None  # in the table of chunks, the end id
 class ChunkIds:
     """The ids of texts, with the end id, and their texts again."""
 
-    MOST_CHUNKS, MOST_CHARS = 600_000, 48 << 20
+    MOST_CHUNKS, MOST_CHARS = 300_000, 24 << 20
 
     def __init__(self, path: str):
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)

@@ -145,7 +145,7 @@ class WordIds:
     vocabulary's own ranks; all others go through the tokenizers library, as does everything where the vocabulary is not
     of this kind."""
 
-    MOST_WORDS, MOST_BYTES = 500_000, 48 << 20
+    MOST_WORDS, MOST_BYTES = 150_000, 16 << 20
     END = b""  # never a word: stands for the end id
     PLAIN = bytes([*range(9, 14), *range(32, 127), *range(0x80, 0xC0), 0xC3])
 
