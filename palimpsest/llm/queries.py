@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import jaccard_join, quality_rules, sentence_pieces, shared, token_output
+from palimpsest.llm import jaccard_join, language_id, quality_rules, sentence_pieces, shared, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def fold(of: int) -> Column:
+    """crc32 of doc_id as text, modulo of; null without doc_id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    models = language_id.learn(docs.where(fold(3) != 1))
+    held = F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out")
+    return language_id.predict(docs, models).select("doc_id", held, "lang_pred", "score", F.size("mixture").cast("long").alias("n_langs"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentence_pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select(
@@ -39,7 +51,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_dac, op4_quality_rules, op8_sentencepiece)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_dac, op4_quality_rules, op6_language_id, op8_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
