@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import jaccard_join, language_id, quality_rules, sentence_pieces, shared, token_output
+from palimpsest.llm import html_extract, jaccard_join, language_id, quality_rules, sentence_pieces, shared, token_output, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(_table(spark, sf_dir, "pages"), shared.shared_dir(spark), least_bytes=0)
+    return warc.read(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def fold(of: int) -> Column:
     """crc32 of doc_id as text, modulo of; null without doc_id."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
@@ -50,8 +55,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_dac, op4_quality_rules, op6_language_id, op8_sentencepiece)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_dac, op4_quality_rules, op5_warc, op6_language_id, op8_sentencepiece, op9_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
