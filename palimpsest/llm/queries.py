@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, html_extract, jaccard_join, language_id, quality_rules, sentence_pieces, shared, token_output, warc
+from palimpsest.llm import decontaminate, html_extract, jaccard_join, language_id, quality_rules, secret_scan, sentence_pieces, shared, token_output, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, models).select("doc_id", held, "lang_pred", "score", F.size("mixture").cast("long").alias("n_langs"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.learn(secret_scan.samples(docs)))
+    base = F.filter("found", lambda x: x["rank"] < 3)
+    count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, secret_scan.KINDS[:3]), F.sha2(secret_scan.listed(base).cast("binary"), 256).alias("base_sha256"), secret_scan.listed(F.col("found")).alias("spans"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentence_pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select(
@@ -83,7 +91,7 @@ FROM low LEFT JOIN cover USING (doc_id) LEFT JOIN listed USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_dac, op4_quality_rules, op5_warc, op6_language_id, op8_sentencepiece, op9_html_extract, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_dac, op4_quality_rules, op5_warc, op6_language_id, op7_secret_scan, op8_sentencepiece, op9_html_extract, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
