@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, html_extract, jaccard_join, language_id, quality_rules, secret_scan, sentence_pieces, shared, token_output, warc
+from palimpsest.llm import decontaminate, html_extract, jaccard_join, language_id, quality_rules, secret_scan, sentence_pieces, shared, token_output, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,13 @@ def op2_token_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs.where(fold(4) != 2), labels.where(fold(4) != 2))
+    held = F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -91,7 +98,7 @@ FROM low LEFT JOIN cover USING (doc_id) LEFT JOIN listed USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_dac, op4_quality_rules, op5_warc, op6_language_id, op7_secret_scan, op8_sentencepiece, op9_html_extract, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_token_dac, op3_toxicity, op4_quality_rules, op5_warc, op6_language_id, op7_secret_scan, op8_sentencepiece, op9_html_extract, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
