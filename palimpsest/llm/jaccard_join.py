@@ -9,13 +9,14 @@ has more empty ones than the slack of its smallest partner does it emit those to
 share a full one.
 So no link is missed, and every candidate pair is checked on the sets themselves.
 
-That slack also lets every set leave out some signatures of its choice, those in the largest buckets, which passages that
-many documents share would fill. Pairs are first held against sketches (counts of features in ranges of the domain), which
-bound their distance from below, then against the sets.
-
-Within a signature's bucket, members are compared with its smallest member first. Whatever that joins is one component;
-further pairs of a bucket are compared only across components, and only where the triangle inequality of the Jaccard
-distance, through the smallest member, lets them link. So a bucket of thousands of near copies costs a comparison each.
+That slack also lets every set leave out some signatures, those in the largest buckets, which passages that many documents
+share would fill. Pairs are first held against sketches (counts of features in ranges of the domain), which bound what they
+have in common from above, then against the sets.
+
+Within a signature's bucket, members are compared with its most popular member (whose signatures have most company), which
+near copies resemble most. Whatever that joins is one component. Pairs that a bucket leaves open, across components, are
+narrowed by a prefix filter before they are formed: with features in one order, rarest first, two sets that have c features
+in common share one among the first n - c + 1 of each. So a bucket of thousands of near copies costs a comparison each.
 """
 
 from __future__ import annotations
@@ -147,9 +148,9 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 def droppable(s: np.ndarray, bands: Bands) -> list[tuple[int, int]]:
     """(instance, number of signatures that the set may leave out there). Sets that link share over spare - empty full
-    ones; if each leaves out half of that at most, whichever it likes, one remains in both."""
+    ones; if each leaves out so many of its last ones in an order that holds for all, one remains in both."""
     spare = _spare(s, bands)
-    return [(j & 255, max(0, (spare - int(np.count_nonzero(np.diff(_cuts(s, bands, j)) == 0))) // 2)) for j in bands.of(len(s))]
+    return [(j & 255, max(0, spare - int(np.count_nonzero(np.diff(_cuts(s, bands, j)) == 0)))) for j in bands.of(len(s))]
 
 
 def _signed(n: int, bands: Bands):
@@ -202,19 +203,28 @@ def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([a, b, pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "union"])
 
 
-def _bounds(percent: int):
-    """The least distance that sizes and sketches leave for a pair, and whether it may link."""
+def _possible(percent: int):
+    """Pairs that may link by their sizes and sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb = (batch.column(i).to_numpy().astype(float) for i in (2, 4))
-            low = 1 - np.minimum(na, nb) / np.maximum(na, nb)
+            na, nb = (batch.column(i).to_numpy() for i in (2, 4))
             may = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
             for i in np.flatnonzero(may):
-                d, both = least_difference(batch.column(3)[i].as_py(), batch.column(5)[i].as_py()), na[i] + nb[i]
-                low[i] = max(low[i], 2 * d / (both + d))
-                may[i] = (100 + percent) * d <= (100 - percent) * both
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low), pa.array(may)], names=["a", "b", "low", "may"])
+                d = least_difference(batch.column(3)[i].as_py(), batch.column(5)[i].as_py())
+                may[i] = (100 + percent) * d <= (100 - percent) * (na[i] + nb[i])
+            yield batch.select([0, 1]).filter(pa.array(may))
+
+    return run
+
+
+def _features(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in shared.chunks(batches, "text", 1 << 20):
+            sets = [s for s in _sets(texts, n) if len(s)]
+            if sets:
+                sizes = [len(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat([_key(s) for s in sets], sizes)), pa.array(np.repeat(sizes, sizes))], names=["feature", "node", "n"])
 
     return run
 
@@ -255,49 +265,54 @@ def similar_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_
     by_size = Window.partitionBy("node", "instance").orderBy(F.desc("size"), "sig")
     ranked = buckets.join(crowds, "sig").withColumn("instance", F.expr("sig & 255")).withColumn("place", F.row_number().over(by_size))
     limits = nodes.select("node", "band", "drop", "drop_below")
-    buckets = shared.written(ranked.join(limits, "node").where("place > if(instance = band, drop, drop_below)").select("sig", "node"), folder, "thinned")
-    led = buckets.groupBy("sig").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1").drop("size")
-    members = shared.written(buckets.join(led, "sig").where("node <> leader"), folder, "members")
+    thinned = shared.written(ranked.join(limits, "node").where("place > if(instance = band, drop, drop_below)").select("sig", "node", "size"), folder, "thinned")
+    popular = thinned.groupBy("node").agg(F.sum("size").alias("company"))
+    met = thinned.join(popular, "node")
+    led = met.groupBy("sig").agg(F.max(F.struct("company", "node")).alias("top"), F.count("*").alias("size")).where("size > 1").select("sig", F.col("top.node").alias("leader"))
+    members = shared.written(thinned.select("sig", "node").join(led, "sig").where("node <> leader"), folder, "members")
+
+    def sources(wanted: DataFrame) -> DataFrame:
+        """A text for each of some nodes."""
+        ids = nodes.join(wanted, "node", "left_semi").select(F.col("doc_id").alias("wanted")).distinct()
+        return read.join(ids, F.expr("doc_id <=> wanted"), "left_semi")
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         """a, b, and what their sets have in common, for the pairs that may link."""
         a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         sketched = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "sa", "nb", "sb")
-        bounded = shared.written(sketched.mapInArrow(_bounds(percent), "a long, b long, low double, may boolean"), folder, f"{name}_pairs")
-        pairs = bounded.where("may").select("a", "b")
-        wanted = nodes.join(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi")
-        wanted = wanted.select(F.col("doc_id").alias("wanted")).distinct()
-        sets = shared.written(read.join(wanted, F.expr("doc_id <=> wanted"), "left_semi").mapInArrow(_blobs(shingle), "node long, set binary"), folder, f"{name}_sets")
+        pairs = shared.written(sketched.mapInArrow(_possible(percent), "a long, b long"), folder, f"{name}_pairs")
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        sets = shared.written(sources(wanted).mapInArrow(_blobs(shingle), "node long, set binary"), folder, f"{name}_sets")
         left = sets.select(F.col("node").alias("a"), F.col("set").alias("left"))
         right = sets.select(F.col("node").alias("b"), F.col("set").alias("right"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-        found = both.mapInArrow(_similarities, "a long, b long, common long, union long").distinct()
-        return shared.written(bounded.join(found, ["a", "b"], "left"), folder, name)
+        return shared.written(both.mapInArrow(_similarities, "a long, b long, common long, union long"), folder, name)
 
     first = checked(members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "first")
     linked = F.expr(f"100 * common >= {percent} * union")
     links = first.where(linked).select("a", "b").distinct()
     groups = shared.written(shared.components(links, folder), folder, "groups")
 
-    # What the smallest members leave open: pairs of a bucket in different components. By the triangle inequality two
-    # members can link only if their distances from the leader differ by no more than the most distance of a link.
-    exact = F.expr("1 - common / union")
-    distances = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.coalesce(exact, "low").alias("lo"), F.coalesce(exact, F.lit(1.0)).alias("hi"))
-    seats = members.join(distances, ["leader", "node"]).select("sig", "node", "lo", "hi")
-    seats = seats.join(groups, "node", "left").select("sig", "node", "lo", "hi", F.coalesce("component", "node").alias("component"))
+    # what the leaders leave open: members of one bucket, in different components
+    seats = members.join(groups, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
     several = seats.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    seats = seats.join(several, "sig", "left_semi").join(nodes.select("node", "n"), "node")
-    seats = shared.written(seats, folder, "seats")
-    x = seats.select("sig", F.col("node").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    y = seats.select("sig", F.col("node").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    open_pairs = x.join(y, "sig").where(
-        f"a < b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and greatest(la - hb, lb - ha) <= {1 - percent / 100} + 1e-9"
-    )
-    more = checked(open_pairs.select("a", "b").distinct(), "more").where(linked).select("a", "b")
+    left_open = shared.written(seats.join(several, "sig", "left_semi").select("node", "component").distinct(), folder, "open")
+    features = shared.written(sources(left_open.select("node")).mapInArrow(_features(shingle), "feature long, node long, n long").distinct().join(left_open, "node"), folder, "features")
+    held_by = features.groupBy("feature").agg(F.count("*").alias("held_by"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    order = Window.partitionBy("node").orderBy("held_by", "feature")
+    ordered = features.join(held_by, "feature").withColumn("place", F.row_number().over(order) - 1)
+    # two sets that link have common(m, n) features in common at least, so they share one of the first m - common + 1
+    common = lambda m, n: f"ceil({percent} * ({m} + {n}) / {100 + percent}D - 1e-9)"
+    firsts = ordered.where(f"lo < hi and place <= n - ceil(n * {percent} / 100D - 1e-9)").select("feature", "node", "component", "n", "place")
+    firsts = shared.written(firsts, folder, "firsts")
+    x = firsts.where(f"place <= n - {common('n', 'n')}").select("feature", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    y = firsts.select("feature", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    fits = f"(na < nb or na = nb and a < b) and ca <> cb and 100 * na >= {percent} * nb and pa <= na - {common('na', 'nb')} and pb <= nb - {common('na', 'nb')}"
+    more = checked(x.join(y, "feature").where(fits).select("a", "b").distinct(), "more").where(linked).select("a", "b")
     joined = shared.written(shared.components(links.unionByName(more), folder), folder, "components")
     smallest = full.join(joined, "node").groupBy("component").agg(F.min("doc_id").alias("smallest"))
     named = joined.join(smallest, "component").select("node", "smallest").unionByName(nodes.join(joined, "node", "left_anti").select("node", F.col("doc_id").alias("smallest")))
     out = shared.written(rows.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id")), folder, "out")
-    shared.forget(spark, folder, "rows", "nodes", "buckets", "thinned", "members", "groups", "components", "seats", "first", "first_sets", "first_pairs", "more", "more_sets", "more_pairs")
+    shared.forget(spark, folder, "rows", "nodes", "buckets", "thinned", "members", "groups", "components", "open", "features", "firsts", "first", "first_sets", "first_pairs", "more", "more_sets", "more_pairs")
     return out
