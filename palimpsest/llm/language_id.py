@@ -164,16 +164,25 @@ def _run(models: Models):
             pick = np.where(letters, share.argmax(1) if share.shape[1] else 0, len(models.langs))
             score = np.where(letters, share.max(1) if share.shape[1] else 0.0, 0.0)
             mix = [[{"lang": models.langs[k], "share": float(share[i, k])} for k in np.flatnonzero(chosen[i])] if letters[i] else [] for i in range(len(letters))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[pick], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(mix, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))], names=["doc_id", "lang_pred", "score", "mixture"])
+            mixture = pa.array(mix, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
+            told = [part.column(0), pa.array(names[pick], pa.string()), pa.array(np.clip(score, 0, 1)), mixture, *part.columns[2:]]
+            yield pa.RecordBatch.from_arrays(told, names=["doc_id", "lang_pred", "score", "mixture", *part.schema.names[2:]])
 
     return run
 
 
-def predict(docs: DataFrame, models: Models, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred (the language with the largest share, und without letters), score (its share) and mixture (the
-    chosen languages and their shares) of every row. Defined results: null, empty and letterless texts are und with score 0
-    and no mixture, as is every text where nothing was learned; equal shares go to the first language by name; a null
-    doc_id stays null; repeated rows stay; an empty table gives no rows; other columns are ignored; texts are read whole."""
+OUTPUT = "doc_id long, lang_pred string, score double, mixture array<struct<lang: string, share: double>>"
+
+
+def predict(docs: DataFrame, models: Models, *, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred (the language with the largest share, und without letters), score (its share), mixture (the chosen
+    languages and their shares) and the columns carry of every row. Defined results: null, empty and letterless texts are
+    und with score 0 and no mixture, as is every text where nothing was learned; equal shares go to the first language by
+    name; a null doc_id stays null; repeated rows stay; an empty table gives no rows; other columns are ignored, and so is
+    one to carry whose name an output has; texts are read whole."""
     shared.bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_run(models), "doc_id long, lang_pred string, score double, mixture array<struct<lang: string, share: double>>")
+    carried = [c for c in carry if c not in ("doc_id", "lang_pred", "score", "mixture")]
+    renamed = {c: f"c{i}" for i, c in enumerate(carried)}  # text may be carried too
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in renamed.items()))
+    schema = ", ".join([OUTPUT, *(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in renamed.items())])
+    return rows.mapInArrow(_run(models), schema).select("doc_id", "lang_pred", "score", "mixture", *(F.col(n).alias(c) for c, n in renamed.items()))
