@@ -52,22 +52,22 @@ def prune(committed: DataFrame, oldest: int) -> DataFrame:
 
 
 def conflicts(txns: DataFrame, *, width: int = 64) -> DataFrame:
-    """(txn, by): transactions that wrote, and ones that committed after it began and before it did and wrote what it read.
+    """(txn, blocker): transactions that wrote, and ones that committed after it began and before it did and wrote what it read.
 
     txns: txn, read_ts, commit_ts, read_set, write_set (arrays). Sets meet in an equi-join on the key and a bucket of the
     clock, so a hot key isn't joined with its whole past."""
     reads = txns.where("size(write_set) > 0").select("txn", "read_ts", "commit_ts", F.explode(F.array_distinct("read_set")).alias("key"))
     reads = reads.withColumn("b", F.explode(F.sequence(F.floor((F.col("read_ts") + 1) / width), F.floor(F.col("commit_ts") / width))))
-    writes = txns.select(F.col("txn").alias("by"), F.col("commit_ts").alias("ts"), F.explode(F.array_distinct("write_set")).alias("key"))
+    writes = txns.select(F.col("txn").alias("blocker"), F.col("commit_ts").alias("ts"), F.explode(F.array_distinct("write_set")).alias("key"))
     writes = writes.withColumn("b", F.floor(F.col("ts") / width))
-    return reads.join(writes, ["key", "b"]).where("txn <> by and ts > read_ts and ts < commit_ts").select("txn", "by").distinct()
+    return reads.join(writes, ["key", "b"]).where("txn <> blocker and ts > read_ts and ts < commit_ts").select("txn", "blocker").distinct()
 
 
 def _outcomes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     aborted: set[int] = set()
     for rows in batches:
         out = []
-        for txn, by in zip(rows["txn"], rows["by"], strict=True):
+        for txn, by in zip(rows["txn"], rows["blocker"], strict=True):
             stopped = any(b not in aborted for b in by)
             if stopped:
                 aborted.add(txn)
@@ -78,6 +78,6 @@ def _outcomes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def outcomes(txns: DataFrame) -> DataFrame:
     """txn, committed as commits in order of commit_ts decide: an aborted transaction's writes stop nobody. Decisions depend
     on each other in order, so the transactions with conflicts, and those alone, pass through one task."""
-    pairs = conflicts(txns).groupBy("txn").agg(F.collect_list("by").alias("by")).join(txns.select("txn", "commit_ts"), "txn")
-    stopped = pairs.repartition(1).sortWithinPartitions("commit_ts").select("txn", "by").mapInPandas(_outcomes, "txn long, aborted boolean")
+    pairs = conflicts(txns).groupBy("txn").agg(F.collect_list("blocker").alias("blocker")).join(txns.select("txn", "commit_ts"), "txn")
+    stopped = pairs.repartition(1).sortWithinPartitions("commit_ts").select("txn", "blocker").mapInPandas(_outcomes, "txn long, aborted boolean")
     return txns.select("txn").join(stopped, "txn", "left").select("txn", F.coalesce(~F.col("aborted"), F.lit(True)).alias("committed"))
