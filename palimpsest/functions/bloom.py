@@ -53,7 +53,7 @@ def to_bytes(filters: DataFrame, bits: int) -> DataFrame:
     """filter, data: its bytes (lowest bit first) and a byte for the number of hashes."""
     by_byte = filters.groupBy("filter", "nbits", F.floor(F.col("bit") / 8).alias("byte")).agg(F.sum(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("value"))
     got = by_byte.groupBy("filter", "nbits").agg(F.map_from_entries(F.collect_list(F.struct("byte", "value"))).alias("m"))
-    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("nbits") / 8 - 1), lambda i: F.lpad(F.hex(F.coalesce(F.element_at("m", i.cast("long")), F.lit(0).cast("long"))), 2, "0")), "")
+    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.expr("nbits div 8 - 1")), lambda i: F.lpad(F.hex(F.coalesce(F.element_at("m", i.cast("long")), F.lit(0).cast("long"))), 2, "0")), "")
     return got.select("filter", F.to_binary(F.concat(text, F.lit(f"{hash_count(bits):02X}")), F.lit("hex")).alias("data"))
 
 
