@@ -95,6 +95,8 @@ class Models:
         self.three = np.log(tables[:, 1] + smooth).T.astype(np.float32)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if not self.langs:
+            return np.zeros((len(starts), 0))
         four, three, of = _grams(data, starts, ends)
         each = self.four[four] - self.three[three]
         return np.stack([np.bincount(of, each[:, k], len(starts)) for k in range(len(self.langs))], 1)

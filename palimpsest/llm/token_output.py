@@ -264,7 +264,7 @@ def _writer(tokenizer: str, end_id: int, folder: str, ids_per_file: int):
             docs, counts, ids, held, seq = [], [], [], 0, seq + 1
             return pa.RecordBatch.from_pylist([row])
 
-        for rows, texts in shared.chunks(batches, "text"):
+        for rows, texts in shared.chunks(batches, "text", min(ids_per_file, shared.CHUNK_BYTES)):
             got, n = codes.encode([t.as_py() for t in texts.cast(pa.binary())])
             docs += rows.column(0).to_pylist()
             counts.append(n)
