@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from palimpsest.shipping import ship
+
 
 def _fold(step: Callable[[int, int, bool], tuple[int, bool]]) -> Callable:
     """step: (bytes so far, bytes of the row, is the row alike in key) -> (bytes now, does the row begin a new part)."""
@@ -28,6 +30,7 @@ def _fold(step: Callable[[int, int, bool], tuple[int, bool]]) -> Callable:
 
 
 def _cut(rows: DataFrame, order: list[str], step: Callable, name: str) -> DataFrame:
+    ship(rows.sparkSession)
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), "part long"])
     return rows.repartition("shard").sortWithinPartitions("shard", *order).mapInPandas(_fold(step), schema).withColumnRenamed("part", name)
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.shipping import ship
+
 
 def running(rows: DataFrame, order: str, value: str, name: str, *, width: int = 1 << 16) -> DataFrame:
     """The sum of value over all rows before each, by a dense integer order: within blocks of so many, then over the blocks'
@@ -78,6 +80,7 @@ def _outcomes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def outcomes(txns: DataFrame) -> DataFrame:
     """txn, committed as commits in order of commit_ts decide: an aborted transaction's writes stop nobody. Decisions depend
     on each other in order, so the transactions with conflicts, and those alone, pass through one task."""
+    ship(txns.sparkSession)
     pairs = conflicts(txns).groupBy("txn").agg(F.collect_list("blocker").alias("blocker")).join(txns.select("txn", "commit_ts"), "txn")
     stopped = pairs.repartition(1).sortWithinPartitions("commit_ts").select("txn", "blocker").mapInPandas(_outcomes, "txn long, aborted boolean")
     return txns.select("txn").join(stopped, "txn", "left").select("txn", F.coalesce(~F.col("aborted"), F.lit(True)).alias("committed"))

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.shipping import ship
+
 ROWS = "path string, key binary, commit_ts long, value binary"
 
 
@@ -126,8 +128,10 @@ def _reader(decode):
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Versions in write-ahead log files; a torn tail is left out."""
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_reader(log_records), ROWS)
 
 
 def read_sorted_files(spark: SparkSession, path: str) -> DataFrame:
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_reader(sorted_file_rows), ROWS)
