@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.shipping import ship
+
 #: Rows of a text table that one Arrow batch may hold; long texts make a batch of more rows too large.
 BATCH_ROWS = 1000
 #: Bytes of text that are worked on at once.
@@ -44,7 +46,8 @@ def forget(spark: SparkSession, folder: str, *names: str) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of texts small enough for an executor's Python."""
+    """Keeps Arrow batches of texts small enough for an executor's Python, which gets this package."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

@@ -308,6 +308,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids before the document in all files), n_tokens and ids_le (little-endian unsigned 32-bit integers)."""
+    shared.bounded_batches(manifest.sparkSession)
     by_part = manifest.groupBy("part").agg(F.sum("n_ids").alias("total"))
     before = by_part.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
     inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")

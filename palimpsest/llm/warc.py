@@ -185,4 +185,5 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(manifest: DataFrame) -> DataFrame:
     """A row for every record of the manifest's files, its digests verified."""
+    shared.bounded_batches(manifest.sparkSession)
     return manifest.select("path").repartition("path").mapInArrow(_reader, RECORDS)
