@@ -103,19 +103,17 @@ def disguised(texts: list[str]) -> list[list[str]]:
             if len(run) > 2:
                 found.append("".join(run))
             run = []
-        if not text.isascii() or PLAIN.search(text):
-            for t in set(tokens):
-                if not t.isalpha():
-                    core = EDGE.sub("", t).lower()
-                    if not core.isalpha() and DISGUISE.search(core):
-                        found.append(core)
-                elif TRIPLE.search(t):
-                    found.append(t.lower())
+        for t in set(tokens):
+            if not t.isalpha():
+                core = EDGE.sub("", t).lower()
+                if not core.isalpha() and DISGUISE.search(core):
+                    found.append(core)
+            elif TRIPLE.search(t):
+                found.append(t.lower())
         out.append([f.lower() for f in found if any(c.isalpha() for c in f)])
     return out
 
 
-PLAIN = re.compile(r"[^\W_][^\w\s]+[^\W_]|\d[^\W\d_]|[^\W\d_]\d|[@$!|(€£¡][^\W\d_]|[^\W\d_][@$!|(€£¡]|([^\W\d_])\1\1|_")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 
 
