@@ -136,22 +136,21 @@ class Restorer:
         return out
 
 
-def _all_words(texts: pa.Array, restorer: Restorer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, starts and ends of the distinct words and restored words of each text, and which text each belongs to."""
+def _all_words(texts: pa.Array, restorer: Restorer) -> tuple[np.ndarray, ...]:
+    """Bytes of the texts and their restored words; starts, ends and hashes of all words, and which text each belongs to."""
     restored = pa.array(restorer.words(texts.to_pylist()), pa.string())
     parts, at = [], 0
     for column in (texts, restored):
-        w = words.split(column, space=language_id.NO_LETTER)
+        w = words.split(column, lower=True, space=language_id.NO_LETTER)
         of = np.repeat(np.arange(len(column)), np.diff(w.first))
-        parts.append((language_id.lower(w.data), w.starts + at, w.ends + at, of))
+        parts.append((language_id.lower(w.data), w.starts + at, w.ends + at, w.hashes, of))
         at += len(w.data)
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
+    return tuple(np.concatenate([p[i] for p in parts]) for i in range(5))
 
 
 def _unique(texts: pa.Array, restorer: Restorer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Features of the distinct words (hashes, presence), and the distinct pairs of a text and a word."""
-    data, starts, ends, of = _all_words(texts, restorer)
-    keys = words.mix(_features(data, starts, ends)[0][:, -1]) if len(starts) else np.zeros(0, np.uint64)
+    data, starts, ends, keys, of = _all_words(texts, restorer)
     _, first, back = np.unique(keys, return_index=True, return_inverse=True)
     pairs = np.unique(of * max(len(first), 1) + back)
     hashes, has = _features(data, starts[first], ends[first])
