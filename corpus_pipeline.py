@@ -17,7 +17,8 @@ LEAST_SHARE = 0.3
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows whose doc_id isn't among gone; rows without one stay."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    ids = shared.written(gone.select("doc_id").where("doc_id is not null").distinct(), shared.shared_dir(docs.sparkSession), "gone")
+    return shared.by_ids(docs, ids, "doc_id", "left_anti").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -271,10 +271,10 @@ def similar_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_
     led = met.groupBy("sig").agg(F.max(F.struct("company", "node")).alias("top"), F.count("*").alias("size")).where("size > 1").select("sig", F.col("top.node").alias("leader"))
     members = shared.written(thinned.select("sig", "node").join(led, "sig").where("node <> leader"), folder, "members")
 
-    def sources(wanted: DataFrame) -> DataFrame:
+    def sources(wanted: DataFrame, name: str) -> DataFrame:
         """A text for each of some nodes."""
-        ids = nodes.join(wanted, "node", "left_semi").select(F.col("doc_id").alias("wanted")).distinct()
-        return read.join(ids, F.expr("doc_id <=> wanted"), "left_semi")
+        ids = shared.written(nodes.join(wanted, "node", "left_semi").select(F.col("doc_id").alias("wanted")).distinct(), folder, name)
+        return shared.by_ids(read, ids, F.expr("doc_id <=> wanted"), "left_semi")
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         """a, b, and what their sets have in common, for the pairs that may link."""
@@ -283,7 +283,7 @@ def similar_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_
         sketched = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "sa", "nb", "sb")
         pairs = shared.written(sketched.mapInArrow(_possible(percent), "a long, b long"), folder, f"{name}_pairs")
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = shared.written(sources(wanted).mapInArrow(_blobs(shingle), "node long, set binary"), folder, f"{name}_sets")
+        sets = shared.written(sources(wanted, f"{name}_ids").mapInArrow(_blobs(shingle), "node long, set binary"), folder, f"{name}_sets")
         left = sets.select(F.col("node").alias("a"), F.col("set").alias("left"))
         right = sets.select(F.col("node").alias("b"), F.col("set").alias("right"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
@@ -298,7 +298,7 @@ def similar_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_
     seats = members.join(groups, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
     several = seats.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
     left_open = shared.written(seats.join(several, "sig", "left_semi").select("node", "component").distinct(), folder, "open")
-    features = shared.written(sources(left_open.select("node")).mapInArrow(_features(shingle), "feature long, node long, n long").distinct().join(left_open, "node"), folder, "features")
+    features = shared.written(sources(left_open.select("node"), "open_ids").mapInArrow(_features(shingle), "feature long, node long, n long").distinct().join(left_open, "node"), folder, "features")
     held_by = features.groupBy("feature").agg(F.count("*").alias("held_by"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     order = Window.partitionBy("node").orderBy("held_by", "feature")
     ordered = features.join(held_by, "feature").withColumn("place", F.row_number().over(order) - 1)
@@ -314,5 +314,5 @@ def similar_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_
     smallest = full.join(joined, "node").groupBy("component").agg(F.min("doc_id").alias("smallest"))
     named = joined.join(smallest, "component").select("node", "smallest").unionByName(nodes.join(joined, "node", "left_anti").select("node", F.col("doc_id").alias("smallest")))
     out = shared.written(rows.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id")), folder, "out")
-    shared.forget(spark, folder, "rows", "nodes", "buckets", "thinned", "members", "groups", "components", "open", "features", "firsts", "first", "first_sets", "first_pairs", "more", "more_sets", "more_pairs")
+    shared.forget(spark, folder, "rows", "nodes", "buckets", "thinned", "members", "groups", "components", "open", "features", "firsts", "first", "first_sets", "first_pairs", "first_ids", "more", "more_sets", "more_pairs", "more_ids", "open_ids")
     return out

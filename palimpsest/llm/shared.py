@@ -17,6 +17,8 @@ from palimpsest.shipping import ship
 BATCH_ROWS = 1000
 #: Bytes of text that are worked on at once.
 CHUNK_BYTES = 4 << 20
+#: Ids that may be broadcast: a few MB.
+MOST_SENT = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,6 +67,13 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             at = to
 
 
+def by_ids(rows: DataFrame, ids: DataFrame, condition, how: str) -> DataFrame:
+    """rows joined (left_semi or left_anti) with ids, a written table of one BIGINT. Up to MOST_SENT ids are sent to the
+    rows, so texts aren't shuffled for a few of them; beyond, both sides are shuffled."""
+    few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
+    return rows.join(F.broadcast(ids) if few else ids, condition, how)
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, component): the smallest node that a node reaches over undirected edges (a, b). Nodes without edges are absent.
 
