@@ -2,8 +2,8 @@
 
 Each language has a Markov model of bytes (four-grams over their first three bytes, in hashed tables) learned from labelled
 rows. A text is taken as a mixture: every word comes from one language of a set, in unknown proportions, which expectation
-maximisation estimates from the words' likelihoods. Sets of the 1, 2, ... most likely languages are compared by their
-likelihood less a penalty for each language (as the Bayesian information criterion has it)."""
+maximisation estimates from the words' likelihoods. Sets of the 1, 2, ... most likely languages, up to all of them, are
+compared by their likelihood less a penalty for each language (as the Bayesian information criterion has it)."""
 
 from __future__ import annotations
 
@@ -122,31 +122,38 @@ def mixtures(likely: np.ndarray, first: np.ndarray, rounds: int = 8, penalty: fl
     best, chosen = np.zeros((n, k)), np.zeros((n, k), bool)
     if not len(some) or not k:
         return best, chosen
-    heads = first[:-1][some]
-    top = likely.max(1, keepdims=True)
-    given = np.exp(likely - top)  # up to a factor for each word
+    given = np.exp(likely - likely.max(1, keepdims=True))  # up to a factor for each word
     m = counts[some].astype(float)
-    rank = None
     value = np.full(len(some), -np.inf)
     of = np.repeat(np.arange(len(some)), counts[some])
 
-    def fit(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def fit(at: np.ndarray, allowed: np.ndarray, rounds: int = rounds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shares of the allowed languages in the texts at, their log-likelihoods, and what no shares can exceed."""
+        mine = given if len(at) == len(some) else given[np.isin(of, at)]
+        n_words = counts[some][at]
+        heads, text = np.cumsum(n_words) - n_words, np.repeat(np.arange(len(at)), n_words)
         share = allowed / allowed.sum(1, keepdims=True)
         for _ in range(rounds):
-            joint = given * share[of]
-            total = joint.sum(1, keepdims=True) + 1e-300
-            share = np.add.reduceat(joint / total, heads, 0) / m[:, None]
-        return share, np.add.reduceat(np.log((given * share[of]).sum(1) + 1e-300), heads)
-
-    everything, _ = fit(np.ones((len(some), k)))
+            joint = mine * share[text]
+            share = np.add.reduceat(joint / (joint.sum(1, keepdims=True) + 1e-300), heads, 0) / n_words[:, None]
+        total = (mine * share[text]).sum(1) + 1e-300
+        fitted = np.add.reduceat(np.log(total), heads)
+        slope = np.add.reduceat(mine / total[:, None], heads, 0)  # the likelihood is concave: it stays under its tangent
+        return share, fitted, np.minimum(fitted + slope.max(1) - (slope * share).sum(1), 0.0)
+
+    at = np.arange(len(some))
+    everything, _, most = fit(at, np.ones((len(some), k)))
     rank = np.argsort(np.argsort(-everything, 1, kind="stable"), 1, kind="stable")
-    for size in range(1, min(k, 3) + 1):
-        allowed = (rank < size).astype(float)
-        share, fitted = fit(allowed) if size > 1 else (allowed, np.add.reduceat(np.log((given * allowed[of]).sum(1) + 1e-300), heads))
-        score = fitted - penalty * (size - 1) * np.log(m + 1)
-        better = score > value
-        value = np.where(better, score, value)
-        best[some[better]], chosen[some[better]] = share[better], allowed[better] > 0
+    for size in range(1, k + 1):
+        at = np.flatnonzero(most + 1e-6 - penalty * (size - 1) * np.log(m + 1) > value)  # elsewhere no larger set can win
+        if not len(at):
+            break
+        allowed = (rank[at] < size).astype(float)
+        share, fitted, _ = fit(at, allowed, rounds if size > 1 else 0)
+        score = fitted - penalty * (size - 1) * np.log(m[at] + 1)
+        better = score > value[at]
+        value[at[better]] = score[better]
+        best[some[at[better]]], chosen[some[at[better]]] = share[better], allowed[better] > 0
     return best, chosen
 
 

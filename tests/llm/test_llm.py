@@ -208,6 +208,18 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in language_id.predict(table(spark, asked), nothing).collect()} == {"und"}
 
 
+def test_mixtures_of_all_languages(spark):
+    rng = random.Random(16)
+    parts = {"uu": ["ka", "ro"], "vv": ["sch", "ein"], "ww": ["é", "aux"], "xx": ["iz", "oj"], "yy": ["pf", "um"]}
+    word = lambda lang: "".join(rng.choices(parts[lang], k=4))
+    rows = [(i, " ".join(word(lang) for _ in range(30)), lang) for i, lang in enumerate(list(parts) * 60)]
+    models = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [" ".join(word(lang) for lang in list(parts)[:n] for _ in range(30)) for n in range(1, 6)]
+    got = by_id(language_id.predict(table(spark, asked), models))
+    for n in range(1, 6):
+        assert {m["lang"] for m in got[n - 1]["mixture"]} == set(list(parts)[:n]) and abs(got[n - 1]["score"] - 1 / n) < 0.05
+
+
 def test_secrets(spark):
     key = "aZ3kQ9xT7pLm2VbR8sWd5YcG"
     texts = [*ODD, 'é Password = "hunter2hunter2" token:short AKIAABCDEFGHIJKL12 ' + "0a1b2c3d" * 5, f"my {key} here", "token=secret=abcdefghij token: secret: abcdefghij", "some_long_identifier_name_2024_backup", "deadbeef" * 4 + "g", "é\x01passwd:abcdefgh"]
