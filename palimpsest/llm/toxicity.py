@@ -223,13 +223,14 @@ def _evidence(model: Model):
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """docs: doc_id, text; labels: doc_id, toxic (0 or 1). Weights come from one half of the sample and the logistic line
-    from the other, so that it sees features as new texts show them."""
+    """docs: doc_id, text; labels: doc_id, toxic (0 or 1). The model of letters is counted over all docs, with labels or
+    not. Weights come from one half of the sample of labelled rows and the logistic line from the other, so that it sees
+    features as new texts show them."""
     shared.bounded_batches(docs.sparkSession)
     some = language_id.sampled(labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most about sample_rows small rows
     half = F.expr("pmod(xxhash64(doc_id, 'half'), 4) > 0")
-    counts = rows.select("text").mapInArrow(_trigrams, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
+    counts = docs.select("text").mapInArrow(_trigrams, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
     letters = Letters({g: n for g, n in counts})
     totals = dict(rows.where(half).groupBy("toxic").count().collect())
     bad, good = totals.get(1, 0), totals.get(0, 0)

@@ -148,6 +148,15 @@ def test_toxicity(spark):
     assert toxicity.score(table(spark, ["x"]), blank).count() == 1
 
 
+def test_letters_are_counted_over_all_documents(spark):
+    texts = ["biot it"] * 20 + ["blot it"] * 200  # only the first 20 have labels
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    for sample_rows in (8_000, 5):
+        letters = toxicity.learn(docs, labels, sample_rows=sample_rows).letters
+        assert letters.restore("b1ot") == "blot" and abs(letters.cost["^bi"] + np.log((20 + 0.1) / (220 + 2.7))) < 1e-9
+
+
 def test_restoring():
     letters = toxicity.Letters(Counter(g for w in ["idiot", "moron", "scum", "clown"] for g in (f"^^{w}^"[i : i + 3] for i in range(len(w) + 1))))
     assert [letters.restore(x) for x in ("1d10t", "m.o.r.o.n", "$cum", "cl0wn", "iiidiot")] == ["idiot", "moron", "scum", "clown", "idiot"]
