@@ -13,6 +13,9 @@ from palimpsest.llm import decontaminate, jaccard_join, language_id, secret_scan
 
 #: A text whose main language has a smaller share than this is no text of any language.
 LEAST_SHARE = 0.3
+#: A text whose bytes are less likely than those of its languages' learned texts by more than this (in nats, on average) is in
+#: none of the learned languages.
+LEAST_FIT = -1.25
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -22,13 +25,14 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a language: null, empty and letterless ones, and mixtures without a main language. Models are
-    learned from the rows with lang; where none has one, nothing can be judged and all rows stay."""
+    """Rejects texts without a language: null, empty and letterless ones, mixtures without a main language, and texts that
+    are unlike all learned languages (gibberish, other languages). Models are learned from the rows with lang; where none has
+    one, nothing can be judged and all rows stay."""
     models = language_id.learn(docs)
     if not models.langs:
         return docs
-    judged = language_id.predict(docs, models, carry=tuple(docs.columns))
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    judged = language_id.predict(docs, models, carry=tuple(docs.columns), fit=True)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE) & (F.col("fit") >= LEAST_FIT)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,12 +87,15 @@ def sampled(rows: DataFrame, most: int, doc_id: str = "doc_id") -> DataFrame:
 
 
 class Models:
-    """langs and log[kind gram]: a byte's log-probability in each language."""
+    """langs and log[kind gram]: a byte's log-probability in each language; own: what a byte of a language's own text has on
+    average, where each place is left out of the counts that it is judged by."""
 
     def __init__(self, langs: list[str], tables: np.ndarray, smooth: float = 0.5):
         self.langs = langs
         self.four = np.log(tables[:, 0] + smooth / 64).T.astype(np.float32)
         self.three = np.log(tables[:, 1] + smooth).T.astype(np.float32)
+        four, three = (np.where(tables[:, i] > 0, tables[:, i] * np.log(np.maximum(tables[:, i] - 1, 0) + s), 0.0).sum(1) for i, s in ((0, smooth / 64), (1, smooth)))
+        self.own = (four - three) / np.maximum(tables[:, 0].sum(1), 1)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if not self.langs:
@@ -157,7 +160,20 @@ def mixtures(likely: np.ndarray, first: np.ndarray, rounds: int = 8, penalty: fl
     return best, chosen
 
 
-def _run(models: Models):
+def _fit(models: Models, w: words.Words, likely: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """For each text the mean log-likelihood of a byte under its mixture, less what its languages' own texts have. Runs of
+    letters next to a digit (keys, numbers) count only in texts that have no others."""
+    n = len(w.first) - 1
+    of = np.repeat(np.arange(n), np.diff(w.first))
+    top = likely.max(1, initial=-np.inf)
+    each = top + np.log((np.exp(likely - top[:, None]) * share[of]).sum(1) + 1e-300)
+    digit = np.concatenate([(w.data >= 48) & (w.data <= 57), [False]])
+    plain = ~(digit[w.starts - 1] & (w.starts > w.texts[of])) & ~(digit[w.ends] & (w.ends < w.texts[of + 1]))
+    counted = plain | ~(np.bincount(of, plain, n) > 0)[of]
+    return np.bincount(of, each * counted, n) / np.maximum(np.bincount(of, (w.ends - w.starts + 1) * counted, n), 1) - share @ models.own
+
+
+def _run(models: Models, fit: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*models.langs, "und"], object)
         for part, texts in shared.chunks(batches, "text"):
@@ -174,8 +190,9 @@ def _run(models: Models):
             score = np.where(letters, share.max(1) if share.shape[1] else 0.0, 0.0)
             mix = [[{"lang": models.langs[k], "share": float(share[i, k])} for k in np.flatnonzero(chosen[i])] if letters[i] else [] for i in range(len(letters))]
             mixture = pa.array(mix, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
-            told = [part.column(0), pa.array(names[pick], pa.string()), pa.array(np.clip(score, 0, 1)), mixture, *part.columns[2:]]
-            yield pa.RecordBatch.from_arrays(told, names=["doc_id", "lang_pred", "score", "mixture", *part.schema.names[2:]])
+            fits = [pa.array(np.where(letters, _fit(models, w, likely, share), 0.0))] if fit else []
+            told = [part.column(0), pa.array(names[pick], pa.string()), pa.array(np.clip(score, 0, 1)), mixture, *fits, *part.columns[2:]]
+            yield pa.RecordBatch.from_arrays(told, names=["doc_id", "lang_pred", "score", "mixture", *(["fit"] if fit else []), *part.schema.names[2:]])
 
     return run
 
@@ -183,15 +200,17 @@ def _run(models: Models):
 OUTPUT = "doc_id long, lang_pred string, score double, mixture array<struct<lang: string, share: double>>"
 
 
-def predict(docs: DataFrame, models: Models, *, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def predict(docs: DataFrame, models: Models, *, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), fit: bool = False) -> DataFrame:
     """doc_id, lang_pred (the language with the largest share, und without letters), score (its share), mixture (the chosen
     languages and their shares) and the columns carry of every row. Defined results: null, empty and letterless texts are
     und with score 0 and no mixture, as is every text where nothing was learned; equal shares go to the first language by
     name; a null doc_id stays null; repeated rows stay; an empty table gives no rows; other columns are ignored, and so is
-    one to carry whose name an output has; texts are read whole."""
+    one to carry whose name an output has; texts are read whole. With fit there is a column fit: by how much a byte is likelier
+    (in nats, on average) than in the learned texts of the mixture's languages; und has 0."""
     shared.bounded_batches(docs.sparkSession)
-    carried = [c for c in carry if c not in ("doc_id", "lang_pred", "score", "mixture")]
+    told = ["doc_id", "lang_pred", "score", "mixture", *(["fit"] if fit else [])]
+    carried = [c for c in carry if c not in told]
     renamed = {c: f"c{i}" for i, c in enumerate(carried)}  # text may be carried too
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in renamed.items()))
-    schema = ", ".join([OUTPUT, *(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in renamed.items())])
-    return rows.mapInArrow(_run(models), schema).select("doc_id", "lang_pred", "score", "mixture", *(F.col(n).alias(c) for c, n in renamed.items()))
+    schema = ", ".join([OUTPUT, *(["fit double"] if fit else []), *(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in renamed.items())])
+    return rows.mapInArrow(_run(models, fit), schema).select(*told, *(F.col(n).alias(c) for c, n in renamed.items()))

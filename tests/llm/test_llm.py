@@ -337,3 +337,22 @@ def test_pipeline(spark, tmp_path):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     assert set(out) == kept and all(out[i]["ids"] == [*sp.encode(r["text"]), 2] for i, r in by_id(now).items())
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_pipeline_rejects_texts_without_a_language(spark):
+    import corpus_pipeline
+
+    rng = random.Random(19)
+    parts = {"uu": ["ka", "ro", "mi"], "vv": ["sch", "ein", "öd"], "ww": ["é", "aux", "tion"], "xx": ["iz", "oj", "bu"]}
+    word = lambda some: "".join(rng.choices(some, k=3))
+    docs = [(i, " ".join(word(parts[lang]) for _ in range(40)), lang, "s", 0) for i, lang in enumerate(list(parts) * 20)]
+    docs += [(100, " ".join(word(parts["uu"]) for _ in range(40)) + ' password = "abcdefgh1234"', None, "s", 0), (101, " ".join(word(parts["vv"]) for _ in range(3)), None, "s", 0)]
+    docs += [(102, " ".join(word(parts[lang]) for lang in list(parts)[:2] for _ in range(20)), None, "s", 0)]
+    four = [" ".join(word(parts["uu"]) for _ in range(4)) for _ in range(2)]
+    docs += [(103, ' token = "b64b244acde2e3b0aa8f051af1ec018ebaba3add" '.join(four), None, "s", 0)]
+    clean = {d[0] for d in docs}
+    docs += [(200, " ".join(word(p) for p in parts.values() for _ in range(20)), None, "s", 0)]  # four languages in equal parts
+    docs += [(201, " ".join(word(["gwyd", "llan", "ych"]) for _ in range(40)), None, "s", 0)]  # a language that isn't learned
+    docs += [(202, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(40)), None, "s", 0)]
+    kept = corpus_pipeline.language(spark, spark.createDataFrame(docs, SCHEMA), "")
+    assert {r["doc_id"] for r in kept.collect()} == clean
