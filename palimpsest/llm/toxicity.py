@@ -2,8 +2,9 @@
 
 A disguised token is decoded: every character of it is a place in a lattice with the letters that it may stand for (or none),
 each at a cost, and the Viterbi path with the least cost under a character language model is its restored word. Words and
-restored words are scored by features (the word, its beginnings of 4 to 8 bytes) that labelled documents have shown to mark
-toxic ones; a text's score is a logistic function of its strongest feature and of how many strong words it has."""
+restored words are scored by features (the word, its beginnings of 4 to 8 bytes, and whether a text has one, two or more
+different words with a beginning) that labelled documents have shown to mark toxic ones; a text's score is a logistic function
+of its strongest feature and of how many strong words it has."""
 
 from __future__ import annotations
 
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,6 @@ from palimpsest.llm import language_id, shared, words
 U = np.uint64
 #: Rows of labelled documents from which features are learned, about: a bounded sample, chosen by a hash of doc_id.
 SAMPLE_ROWS = 8_000
-#: Features kept at most: those with the largest weights.
-MOST_FEATURES = 50_000
 #: Letters that other characters stand for. Fixed values.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -38,6 +38,8 @@ DISGUISE = re.compile(r"[a-z][0-9@$!|+(€£¡*#.\-_~'`,:;/\\]+[a-z]|[0-9@$!|(
 EDGE = re.compile(r"^[^\w@$!|(€£¡*#]+|[^\w@$!|€£¡]+$|(?<=\w)([$!|#*%&])\1+$")
 SPACE_BYTES = words.SPACE
 SIZES = (4, 5, 6, 7, 8)
+#: A text has a feature at level n if n different words of it have the feature; the last level stands for more as well.
+LEVELS = 3
 
 
 class Letters:
@@ -74,16 +76,15 @@ class Letters:
         return min((cost + self.of(two, "^"), out) for two, (cost, out) in paths.items())[1]
 
 
-def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each word's features, and whether it has them: its beginnings of some bytes, and all of it (to 32)."""
-    longest = 32
-    n = len(starts)
+def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each word's features, and whether it has them: its beginnings of some bytes, and all of it."""
+    longest, n = max(SIZES), len(starts)
     at = starts[:, None] + np.arange(longest)
     inside = at < ends[:, None]
     powers = np.multiply.accumulate(np.full(longest, U(0x9E3779B97F4A7C15)))
     sums = np.cumsum(np.where(inside, words._BYTE[data[np.minimum(at, max(len(data) - 1, 0))]] * powers, U(0)), 1, dtype=np.uint64) if n else np.zeros((0, longest), np.uint64)
     length = ends - starts
-    out = [words.mix(sums[:, k - 1] + U(k)) for k in SIZES] + [words.mix(sums[:, -1] + U(64))]
+    out = [words.mix(sums[:, k - 1] + U(k)) for k in SIZES] + [words.mix(hashes + U(64))]
     has = [length >= k for k in SIZES] + [length >= 3]
     return np.stack(out, 1), np.stack(has, 1)
 
@@ -136,27 +137,30 @@ class Restorer:
         return out
 
 
-def _all_words(texts: pa.Array, restorer: Restorer) -> tuple[np.ndarray, ...]:
-    """Bytes of the texts and their restored words; starts, ends and hashes of all words, and which text each belongs to."""
+def _unique(texts: pa.Array, restorer: Restorer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the distinct words of texts and of their restored words (hashes, presence), and the distinct pairs of a
+    text and a word."""
     restored = pa.array(restorer.words(texts.to_pylist()), pa.string())
     parts, at = [], 0
-    for column in (texts, restored):
-        w = words.split(column, lower=True, space=language_id.NO_LETTER)
+    for column in (pc.utf8_lower(texts), restored):
+        w = words.split(column, space=language_id.NO_LETTER)
         of = np.repeat(np.arange(len(column)), np.diff(w.first))
-        parts.append((language_id.lower(w.data), w.starts + at, w.ends + at, w.hashes, of))
+        parts.append((w.data, w.starts + at, w.ends + at, w.hashes, of))
         at += len(w.data)
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(5))
-
-
-def _unique(texts: pa.Array, restorer: Restorer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features of the distinct words (hashes, presence), and the distinct pairs of a text and a word."""
-    data, starts, ends, keys, of = _all_words(texts, restorer)
-    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    data, starts, ends, keys, of = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    keys, first, back = np.unique(keys, return_index=True, return_inverse=True)
     pairs = np.unique(of * max(len(first), 1) + back)
-    hashes, has = _features(data, starts[first], ends[first])
+    hashes, has = _features(data, starts[first], ends[first], keys)
     return hashes, has, pairs // max(len(first), 1), pairs % max(len(first), 1)
 
 
+def _levels(text: np.ndarray, feature: np.ndarray, n_features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of a text and a feature (a number) of one of its words: the distinct ones, as text, feature and level, and
+    which of them each pair is."""
+    got, back, count = np.unique(text * max(n_features, 1) + feature, return_inverse=True, return_counts=True)
+    return got // max(n_features, 1), got % max(n_features, 1), np.minimum(count, LEVELS), back
+
+
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Three letters in a row, over the plain words of texts; everything but a-z is one character."""
     got: Counter = Counter()
@@ -179,32 +183,45 @@ def _marks(letters: Letters):
             hashes, has, text, word = _unique(texts, restorer)
             if not len(word):
                 continue
-            keep = has[word]
-            of = np.broadcast_to(text[:, None], keep.shape)[keep]
-            feature = hashes[word][keep]
-            both = np.unique(np.stack([feature.view(np.int64), of]), axis=1)
-            f, back = np.unique(both[0], return_inverse=True)
-            t = np.bincount(back, toxic[both[1]], len(f)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(t), pa.array(np.bincount(back, minlength=len(f)))], names=["f", "t", "n"])
+            known, number = np.unique(hashes, return_inverse=True)
+            number, keep = number.reshape(hashes.shape)[word], has[word]
+            of, feature, level, _ = _levels(np.broadcast_to(text[:, None], keep.shape)[keep], number[keep], len(known))
+            for n in range(1, LEVELS + 1):
+                some = level >= n
+                t, all_of = np.bincount(feature[some], toxic[of[some]], len(known)).astype(np.int64), np.bincount(feature[some], minlength=len(known))
+                at = np.flatnonzero(all_of)
+                yield pa.RecordBatch.from_arrays([pa.array(known[at].view(np.int64)), pa.array(np.full(len(at), n, np.int32)), pa.array(t[at]), pa.array(all_of[at])], names=["f", "level", "t", "n"])
 
     return run
 
 
 class Model:
-    def __init__(self, letters: Letters, features: np.ndarray, weights: np.ndarray, line: tuple[float, float, float] = (-6.0, 1.0, 0.5)):
-        order = np.argsort(features)
-        self.letters, self.features, self.weights, self.line = letters, features[order], weights[order], line
+    """weights: a row for each of the sorted features, a column for each level; a level has the weights of those below."""
+
+    def __init__(self, letters: Letters, features: np.ndarray, levels: np.ndarray, weights: np.ndarray, line: tuple[float, float, float] = (-6.0, 1.0, 0.5)):
+        self.letters, self.line = letters, line
+        self.features, back = np.unique(features, return_inverse=True)
+        self.weights = np.zeros((len(self.features), LEVELS))
+        self.weights[back, levels - 1] = weights
+        self.weights = np.maximum.accumulate(self.weights, 1)
 
     def evidence(self, texts: pa.Array, restorer: Restorer) -> np.ndarray:
-        """For each text the weight of its strongest word and the logarithm of the number of strong words."""
+        """For each text the weight of its strongest feature and the logarithm of the number of its strong words."""
         hashes, has, text, word = _unique(texts, restorer)
         out = np.zeros((len(texts), 2))
         if not len(word) or not len(self.features):
             return out
         at = np.minimum(np.searchsorted(self.features, hashes), len(self.features) - 1)
-        weight = np.where(has & (self.features[at] == hashes), self.weights[at], 0.0).max(1)
-        np.maximum.at(out[:, 0], text, weight[word])
-        out[:, 1] = np.log1p(np.bincount(text, weight[word] > STRONG, len(texts)))
+        has = has & (self.features[at] == hashes)
+        some = has.any(1)[word]
+        text, word = text[some], word[some]
+        keep = has[word]
+        pair = np.broadcast_to(np.arange(len(word))[:, None], keep.shape)[keep]
+        of, feature, level, back = _levels(text[pair], at[word][keep], len(self.features))
+        weight = self.weights[feature, level - 1]
+        np.maximum.at(out[:, 0], of, weight)
+        strong = np.unique(pair[weight[back] > STRONG])
+        out[:, 1] = np.log1p(np.bincount(text[strong], minlength=len(texts)))
         return out
 
 
@@ -234,18 +251,20 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS)
     letters = Letters({g: n for g, n in counts})
     totals = dict(rows.where(half).groupBy("toxic").count().collect())
     bad, good = totals.get(1, 0), totals.get(0, 0)
-    seen = rows.where(half).select("doc_id", "text", "toxic").mapInArrow(_marks(letters), "f long, t long, n long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    seen = rows.where(half).select("doc_id", "text", "toxic").mapInArrow(_marks(letters), "f long, level int, t long, n long").groupBy("f", "level").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     weight = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("t") + 3) / (good + 3))
-    best = seen.where("t >= 3").select("f", weight.alias("w")).where("w >= 1").orderBy(F.desc("w"), "f").limit(MOST_FEATURES).toPandas()
-    model = Model(letters, best["f"].to_numpy(np.int64).view(np.uint64), best["w"].to_numpy(float))
-    rest = rows.where(~half).select("doc_id", "toxic", "text").mapInArrow(_evidence(model), "doc_id long, toxic int, top double, many double").select("toxic", "top", "many").toPandas()
+    best = seen.where("t >= 3").select("f", "level", weight.alias("w")).where("w >= 1").toPandas()  # of the sample's words
+    model = Model(letters, best["f"].to_numpy(np.int64).view(np.uint64), best["level"].to_numpy(int), best["w"].to_numpy(float))
+    # rows alike in evidence, to a hundredth, are one row with a count, however many there are
+    shown = rows.where(~half).select("doc_id", "toxic", "text").mapInArrow(_evidence(model), "doc_id long, toxic int, top double, many double")
+    rest = shown.groupBy("toxic", F.round("top", 2).alias("top"), F.round("many", 2).alias("many")).agg(F.count("*").alias("n")).toPandas().sort_values(["toxic", "top", "many"])
     if rest["toxic"].nunique() == 2:
         x = np.column_stack([np.ones(len(rest)), rest["top"], rest["many"]])
-        y, line = rest["toxic"].to_numpy(float), np.zeros(3)
+        y, n, line = rest["toxic"].to_numpy(float), rest["n"].to_numpy(float), np.zeros(3)
         for _ in range(30):  # Newton's method with a little ridge
             p = 1 / (1 + np.exp(-np.clip(x @ line, -30, 30)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
-            line = line + np.linalg.solve(h, x.T @ (y - p) - 0.05 * line)
+            h = (x * (n * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
+            line = line + np.linalg.solve(h, x.T @ (n * (y - p)) - 0.05 * line)
         model.line = tuple(line)
     return model
 
