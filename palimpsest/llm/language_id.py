@@ -39,16 +39,22 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     before a word), for those three alone, and the word."""
     lengths = ends - starts + 1
     heads = np.cumsum(lengths) - lengths
-    of = np.repeat(np.arange(len(starts)), lengths)
-    place = np.arange(len(of)) - heads[of]
-    at = starts[of] + place
-    body = np.where(place == lengths[of] - 1, 32, data[np.minimum(at, len(data) - 1)]).astype(np.uint64)
-    context = np.zeros(len(of), np.uint64)
+    narrow = np.int32 if len(data) + int(lengths.sum()) < 1 << 31 else np.int64
+    of = np.repeat(np.arange(len(starts), dtype=narrow), lengths)
+    place = np.arange(len(of), dtype=narrow) - np.repeat(heads.astype(narrow), lengths)
+    at = np.repeat(starts.astype(narrow), lengths)
+    at += place
+    body = data[np.minimum(at, len(data) - 1)]
+    body[heads + lengths - 1] = 32
+    del at
+    context = np.zeros(len(of), np.uint32)
     for back in (3, 2, 1):
-        earlier = np.where(place >= back, np.concatenate([np.full(back, 32, np.uint64), body[:-back]])[: len(of)], U(32))
-        context = context * U(256) + earlier
+        earlier = np.full(len(of), 32, np.uint8)
+        earlier[back:] = np.where(place[back:] >= back, body[:-back], np.uint8(32))
+        context = (context << np.uint32(8)) | earlier
+    context = context.astype(np.uint64)
     mask = U(BUCKETS - 1)
-    return (words.mix(context * U(256) + body + U(1 << 40)) & mask).astype(np.int64), (words.mix(context) & mask).astype(np.int64), of
+    return (words.mix(context * U(256) + body + U(1 << 40)) & mask).astype(np.int32), (words.mix(context) & mask).astype(np.int32), of
 
 
 def _distinct(texts: pa.Array):

@@ -15,8 +15,8 @@ from palimpsest.shipping import ship
 
 #: Rows of a text table that one Arrow batch may hold; long texts make a batch of more rows too large.
 BATCH_ROWS = 1000
-#: Bytes of text that are worked on at once.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text that are worked on at once (or one text): arrays over them take some 50 times as much.
+CHUNK_BYTES = 1 << 20
 #: Ids that may be broadcast: a few MB.
 MOST_SENT = 250_000
 

@@ -62,11 +62,11 @@ def split(texts: pa.Array, lower: bool = False, space: np.ndarray = SPACE) -> Wo
     lengths = ends - starts
     hashes = np.zeros(0, np.uint64)
     if len(starts):
-        body = data[inside]
-        heads = np.cumsum(lengths) - lengths
-        place = np.arange(len(body)) - np.repeat(heads, lengths)
-        powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(int(lengths.max()), _BASE)]))
-        hashes = mix(np.add.reduceat((_LOWER if lower else _BYTE)[body] * powers[place], heads) + lengths.astype(np.uint64) * U(0xD6E8FEB86659FD93))
+        place = np.flatnonzero(inside).astype(np.int32 if n < 1 << 31 else np.int64)
+        place -= np.repeat(starts.astype(place.dtype), lengths)
+        weighed = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(int(lengths.max()), _BASE)]))[place]
+        weighed *= (_LOWER if lower else _BYTE)[data[inside]]
+        hashes = mix(np.add.reduceat(weighed, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64) * U(0xD6E8FEB86659FD93))
     return Words(data, starts, ends, hashes, np.searchsorted(starts, bounds), bounds)
 
 
