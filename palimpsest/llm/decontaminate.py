@@ -49,9 +49,10 @@ def _found(held: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
 
 
 def contamination(
-    docs: DataFrame, items: DataFrame, *, size: int = 13, percent: int = 5, most_literals: int = MOST_LITERALS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text"
+    docs: DataFrame, items: DataFrame, *, size: int = 13, percent: int = 5, most_literals: int = MOST_LITERALS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (array, sorted as strings), contaminated, for every row of docs.
+    """doc_id, n_words, n_hit, item_ids (array, sorted as strings), contaminated and the columns carry (small ones), for every
+    row of docs.
 
     Words are runs of ASCII letters (A-Z as a-z), digits and other than ASCII characters. A word inside any occurrence of a
     window is hit; a document is contaminated if words are hit and they are percent of its words or more. Defined results:
@@ -61,7 +62,8 @@ def contamination(
     spark = docs.sparkSession
     folder = shared.shared_dir(spark)
     windows = shared.written(_windows(items, size, item_id, item_text), folder, "windows")
-    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words(F.col(text)).alias("words"))
+    carried = {f"c{i}": c for i, c in enumerate(carry)}
+    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words(F.col(text)).alias("words"), *(F.col(c).alias(n) for n, c in carried.items()))
 
     # how many documents hold each word of the items
     vocabulary = windows.select(F.explode(F.transform("words", F.lower)).alias("word")).distinct()
@@ -79,18 +81,18 @@ def contamination(
     prefixes = ranked.where("r = 1 and held_by is not null").select("word", F.struct(F.col("place").alias("at"), "words", "items").alias("win"))
     prefixes = shared.written(prefixes.groupBy("word").agg(F.collect_list("win").alias("wins")), folder, "prefixes")
 
-    held = read.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "words")
+    held = read.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "words", *carried)
     reach = size - 1
     if prefixes.count() > most_literals:
         held = shared.written(held, folder, "held")  # row ids must be the same in both readings
-        placed = held.select("rid", "doc_id", F.size("words").cast("long").alias("n_words")).join(_found(held, prefixes.select("word"), most_literals).select("rid", "words", "places"), "rid", "left")
+        placed = held.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"), *carried).join(_found(held, prefixes.select("word"), most_literals).select("rid", "words", "places"), "rid", "left")
     else:
         placed = _found(held, prefixes.select("word"), most_literals).withColumn("n_words", F.size("words").cast("long"))
     around = lambda i: F.struct(
         i.alias("place"), F.greatest(i - reach, F.lit(0)).alias("base"), F.lower(F.get("words", i)).alias("word"),
         F.transform(F.slice("words", F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + size), lowered).alias("near"),
     )
-    placed = placed.select("rid", "doc_id", "n_words", F.transform(F.coalesce("places", F.array().cast("array<int>")), around).alias("near"))
+    placed = placed.select("rid", "doc_id", "n_words", *carried, F.transform(F.coalesce("places", F.array().cast("array<int>")), around).alias("near"))
     placed = shared.written(placed, folder, "placed")
 
     near = placed.where(F.size("near") > 0).select("rid", F.explode("near").alias("n")).select("rid", "n.*")
@@ -104,9 +106,10 @@ def contamination(
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to"))
     step = lambda a, s: F.struct((a["n"] + F.greatest(s["e"] - F.greatest(s["s"], a["to"]), F.lit(0)).cast("long")).alias("n"), F.greatest(a["to"], s["e"]).alias("to"))
     by_row = by_row.select("rid", F.aggregate("spans", start, step)["n"].alias("n_hit"), "item_ids")
-    return placed.select("rid", "doc_id", "n_words").join(by_row, "rid", "left").select(
+    return placed.select("rid", "doc_id", "n_words", *carried).join(by_row, "rid", "left").select(
         "doc_id", "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
         ((F.coalesce("n_hit", F.lit(0)) > 0) & (100 * F.coalesce("n_hit", F.lit(0)) >= percent * F.col("n_words"))).alias("contaminated"),
+        *(F.col(n).alias(c) for n, c in carried.items()),
     )

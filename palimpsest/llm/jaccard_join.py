@@ -79,7 +79,7 @@ def _summaries(n: int, bands: Bands):
         for part, texts in shared.chunks(batches, "text"):
             sets = _sets(texts, n)
             drops = [(droppable(s, bands) if len(s) else []) + [(None, None)] * 2 for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([d[0][0] for d in drops], pa.int32()), pa.array([d[0][1] for d in drops], pa.int32()), pa.array([d[1][1] for d in drops], pa.int32())], names=["doc_id", "n_shingles", "node", "sketch", "band", "drop", "drop_below"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([d[0][0] for d in drops], pa.int32()), pa.array([d[0][1] for d in drops], pa.int32()), pa.array([d[1][1] for d in drops], pa.int32()), *part.columns[2:]], names=["doc_id", "n_shingles", "node", "sketch", "band", "drop", "drop_below", *part.schema.names[2:]])
 
     return run
 
@@ -238,8 +238,9 @@ def _blobs(n: int):
     return run
 
 
-def similar_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs.
+def similar_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs; with carry (small columns) also group, which names a component
+    even where doc_ids are null or repeat (null without shingles), and those columns.
 
     Words are runs of anything but ASCII white space, A-Z as a-z; a text's set is its distinct shingles, with fewer words
     the whole sequence as one. Two documents link when 100 * |a and b| >= percent * |a or b|; component_id is the smallest
@@ -252,8 +253,10 @@ def similar_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_
     folder = shared.shared_dir(spark)
     bands = Bands(percent / 100)
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-
-    rows = shared.written(read.mapInArrow(_summaries(shingle, bands), "doc_id long, n_shingles long, node long, sketch binary, band int, drop int, drop_below int"), folder, "rows")
+    carried = {f"c{i}": c for i, c in enumerate(carry)}
+    wide = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(n) for n, c in carried.items()))
+    schema = ", ".join(["doc_id long, n_shingles long, node long, sketch binary, band int, drop int, drop_below int", *(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in carried.items())])
+    rows = shared.written(wide.mapInArrow(_summaries(shingle, bands), schema), folder, "rows")
     # equal sets are one node
     full = rows.where("node is not null")
     nodes = shared.written(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("band").alias("band"), F.first("drop").alias("drop"), F.first("drop_below").alias("drop_below")), folder, "nodes")
@@ -312,7 +315,9 @@ def similar_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_
     more = checked(x.join(y, "feature").where(fits).select("a", "b").distinct(), "more").where(linked).select("a", "b")
     joined = shared.written(shared.components(links.unionByName(more), folder), folder, "components")
     smallest = full.join(joined, "node").groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    named = joined.join(smallest, "component").select("node", "smallest").unionByName(nodes.join(joined, "node", "left_anti").select("node", F.col("doc_id").alias("smallest")))
-    out = shared.written(rows.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id")), folder, "out")
+    named = joined.join(smallest, "component").select("node", "smallest", F.col("component").alias("group")).unionByName(nodes.join(joined, "node", "left_anti").select("node", F.col("doc_id").alias("smallest"), F.col("node").alias("group")))
+    component = F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id")
+    told = ["doc_id", "n_shingles", component, *(["group"] if carried else []), *(F.col(n).alias(c) for n, c in carried.items())]
+    out = shared.written(rows.select("doc_id", "n_shingles", "node", *carried).join(named, "node", "left").select(*told), folder, "out")
     shared.forget(spark, folder, "rows", "nodes", "buckets", "thinned", "members", "groups", "components", "open", "features", "firsts", "first", "first_sets", "first_pairs", "first_ids", "more", "more_sets", "more_pairs", "more_ids", "open_ids")
     return out

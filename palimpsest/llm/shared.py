@@ -47,6 +47,14 @@ def forget(spark: SparkSession, folder: str, *names: str) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like this that no column has."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of texts small enough for an executor's Python, which gets this package."""
     ship(spark)

@@ -1,0 +1,79 @@
+"""The pipeline's stages on rows that repeat, ids that are null or shared, and columns that clash."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHES = ["score", "lang_pred", "mixture", "fit", "found", "row_key", "key", "group", "gone", "head", "words", "node", "Row_Key_"]
+
+
+def text(rng, n, parts=("ka", "ro", "mi", "tu", "pe")):
+    return " ".join("".join(rng.choices(parts, k=3)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(13)
+    out = [(i, text(rng, 60), "xx", "s", i) for i in range(20)]
+    same = text(rng, 50)
+    near = [same + f" {w}" for w in ("kaka", "roro")]
+    out += [(50, near[0], "xx", "a", 0), (50, near[1], "xx", "b", 0), (51, same, "xx", "c", 0)]  # a group whose smallest id repeats
+    out += [(60, out[3][1][:-4] + "mimi", "xx", "d", 0), (60, text(rng, 55), "xx", "e", 0)]  # one row of an id is a copy, the other isn't
+    out += [(70, text(rng, 40), "xx", "f", 0)] * 3  # repeated rows
+    lost = text(rng, 45)
+    out += [(None, lost, "xx", "g", 0), (None, lost, "xx", "h", 0), (None, out[0][1], "xx", "i", 0)]
+    out += [(80, None, None, "j", None), (81, "", None, "k", 0), (None, None, "xx", "l", 0)]
+    return out
+
+
+@pytest.fixture
+def docs(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA)
+    for i, c in enumerate(CLASHES):
+        df = df.withColumn(c, F.lit(f"mine {i}"))
+    return df
+
+
+def kept(df, names=("doc_id", "source")):
+    got = df.collect()
+    assert all(r[c] == f"mine {i}" for r in got for i, c in enumerate(CLASHES))
+    return sorted(((r[names[0]], r[names[1]]) for r in got), key=str)
+
+
+def test_one_row_of_each_group_stays(spark, docs, rows):
+    import corpus_pipeline
+
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = kept(out)
+    want = [(i, "s") for i in range(20)] + [(60, "e"), (70, "f"), (80, "j"), (81, "k"), (None, "l")]
+    assert [x for x in got if x[1] not in "abcgh"] == sorted(want, key=str)
+    assert [x for x in got if x[1] in "abc"] in ([(50, "a")], [(50, "b")]) and len([x for x in got if x[1] in "gh"]) == 1
+
+
+def test_verdicts_are_the_rows_own(spark, docs, rows, tmp_path):
+    import corpus_pipeline
+
+    item = rows[3][1]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    gone = {(3, "s"), (60, "d")}
+    assert out.columns == docs.columns and kept(out) == sorted(((r[0], r[3]) for r in rows if (r[0], r[3]) not in gone), key=str)
+    out = corpus_pipeline.language(spark, docs, "")
+    assert out.columns == docs.columns and kept(out) == sorted(((r[0], r[3]) for r in rows if r[1]), key=str)
+    out = corpus_pipeline.secrets(spark, docs.withColumn("text", F.when(F.col("source") == "e", "a token=abcdefgh1 b").otherwise(F.col("text"))), "")
+    assert out.columns == docs.columns and kept(out) == sorted(((r[0], r[3]) for r in rows), key=str)
+    by = {r["source"]: r for r in out.collect()}
+    assert (by["e"]["text"], by["e"]["n_chars"], by["j"]["n_chars"], by["f"]["n_chars"]) == ("a [secret] b", 12, None, 0)
+    ids = corpus_pipeline.tokens(spark, docs, "")
+    assert ids.count() == len(rows) and {r["n_tokens"] for r in ids.where("doc_id in (80, 81)").collect()} == {1}
+
+
+def test_empty_tables_stay_empty(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
