@@ -39,22 +39,31 @@ def build(hashes: DataFrame, bits: int) -> DataFrame:
     return made.distinct()
 
 
+#: Bits in a piece of a filter, as Spark's bitmap functions have them.
+PIECE = 8 * 4096
+
+
+def packed(filters: DataFrame) -> DataFrame:
+    """filter, nbits, data: a filter's bits in bytes, lowest first. Bits are put together by pieces, then pieces by filter."""
+    within = F.bitmap_construct_agg(F.col("bit") % PIECE).alias("bits")
+    pieces = filters.groupBy("filter", "nbits", F.expr(f"cast(bit div {PIECE} as int)").alias("piece")).agg(within)
+    held = pieces.groupBy("filter", "nbits").agg(F.map_from_entries(F.collect_list(F.struct("piece", "bits"))).alias("m"))
+    none = F.lit(bytes(PIECE // 8))
+    whole = F.aggregate(F.sequence(F.lit(0), F.expr(f"cast((nbits - 1) div {PIECE} as int)")), F.lit(b""), lambda a, i: F.concat(a, F.coalesce(F.element_at("m", i), none)))
+    return held.select("filter", "nbits", F.substring(whole, F.lit(1), F.expr("cast(nbits div 8 as int)")).alias("data"))
+
+
 def may_contain(probes: DataFrame, filters: DataFrame, bits: int) -> DataFrame:
     """probes (filter, h) with may_contain: are all the hash's bits set? A filter without bits holds nothing."""
-    k = hash_count(bits)
-    sizes = filters.groupBy("filter").agg(F.max("nbits").alias("nbits"))
-    asked = probes.select("filter", "h").distinct().join(sizes, "filter", "left")
-    bit = asked.where("nbits is not null").select("filter", "h", F.posexplode(positions(F.col("h"), k, F.col("nbits"))).alias("i", "bit"))
-    hit = bit.join(filters.select("filter", "bit"), ["filter", "bit"], "left_semi").groupBy("filter", "h").agg(F.count("*").alias("n"))
-    return asked.join(hit, ["filter", "h"], "left").select("filter", "h", (F.coalesce("n", F.lit(0)) == k).alias("may_contain"))
+    byte = lambda i: F.conv(F.hex(F.substring("data", (i / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = lambda i: F.call_function("shiftright", byte(i), (i % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    asked = probes.select("filter", "h").distinct().join(packed(filters), "filter", "left")
+    return asked.select("filter", "h", F.coalesce(F.forall(positions(F.col("h"), hash_count(bits), F.col("nbits")), is_set), F.lit(False)).alias("may_contain"))
 
 
 def to_bytes(filters: DataFrame, bits: int) -> DataFrame:
     """filter, data: its bytes (lowest bit first) and a byte for the number of hashes."""
-    by_byte = filters.groupBy("filter", "nbits", F.floor(F.col("bit") / 8).alias("byte")).agg(F.sum(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("value"))
-    got = by_byte.groupBy("filter", "nbits").agg(F.map_from_entries(F.collect_list(F.struct("byte", "value"))).alias("m"))
-    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.expr("nbits div 8 - 1")), lambda i: F.lpad(F.hex(F.coalesce(F.element_at("m", i.cast("long")), F.lit(0).cast("long"))), 2, "0")), "")
-    return got.select("filter", F.to_binary(F.concat(text, F.lit(f"{hash_count(bits):02X}")), F.lit("hex")).alias("data"))
+    return packed(filters).select("filter", F.concat("data", F.lit(bytes([hash_count(bits)]))).alias("data"))
 
 
 def from_bytes(rows: DataFrame) -> DataFrame:
@@ -63,3 +72,15 @@ def from_bytes(rows: DataFrame) -> DataFrame:
     value = lambda i: F.conv(F.hex(F.substring("data", i + 1, F.lit(1))), 16, 10).cast("int")
     bits = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.when((F.floor(value(i) / F.pow(F.lit(2), j)) % 2) == 1, (i * 8 + j).cast("long"))), lambda x: x.isNotNull())))
     return rows.select("filter", (n * 8).cast("long").alias("nbits"), F.explode(bits).alias("bit"))
+
+
+def filter_bytes(hashes: set[int], bits: int) -> bytes:
+    """The bytes of one filter, as to_bytes gives them, from the hashes of a file's keys."""
+    nbits, k = max(len(hashes) * bits, 64) + 7 & ~7, hash_count(bits)
+    data = bytearray(nbits // 8)
+    for h in hashes:
+        step = (h >> 17 | h << 15) & MASK
+        for i in range(k):
+            bit = (h + i * step & MASK) % nbits
+            data[bit >> 3] |= 1 << (bit & 7)
+    return bytes(data) + bytes([k])

@@ -39,3 +39,15 @@ def hash32(data: Column | str) -> Column:
     rest = sum((F.when(left > j, F.shiftleft(_byte(data, whole * 4 + 1 + j), 8 * j)).otherwise(F.lit(0).cast("long")) for j in range(3)), F.lit(0).cast("long"))
     mixed = _times((h + rest).bitwiseAND(MASK))
     return F.when(left > 0, mixed.bitwiseXOR(F.shiftrightunsigned(mixed, 24))).otherwise(h)
+
+
+def hash32_of(data: bytes) -> int:
+    """The same of one byte string, on the driver or in a task that writes a file."""
+    h = SEED ^ len(data) * FACTOR & MASK
+    for at in range(0, len(data) - 3, 4):
+        h = (h + int.from_bytes(data[at : at + 4], "little")) * FACTOR & MASK
+        h ^= h >> 16
+    if rest := data[len(data) & ~3 :]:
+        h = (h + int.from_bytes(rest, "little")) * FACTOR & MASK
+        h ^= h >> 24
+    return h

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.model import is_tombstone
+from palimpsest.operators import ranges
 
 MIB = 1 << 20
 
@@ -28,11 +29,14 @@ def files_of(rows: DataFrame, file: Column) -> DataFrame:
     ).select("sst_id", F.col("lo.k").alias("first_key"), (-F.col("lo.t")).alias("first_ts"), F.col("hi.k").alias("last_key"), (-F.col("hi.t")).alias("last_ts"), "n_entries", "size_bytes", "max_ts")
 
 
-def overlaps(upper: DataFrame, lower: DataFrame, *, width: int = 64) -> DataFrame:
-    """(upper_id, lower_id) of files whose key ranges meet, ends included: an interval join on buckets of the keys."""
-    spans = lambda f, name: f.select(F.col("sst_id").alias(name), F.col("first_key").alias(f"{name}_lo"), F.col("last_key").alias(f"{name}_hi"), F.explode(F.sequence(F.floor(F.col("first_key") / width), F.floor(F.col("last_key") / width))).alias("b"))
-    both = spans(upper, "upper_id").join(spans(lower, "lower_id"), "b")
-    return both.where("upper_id_lo <= lower_id_hi and lower_id_lo <= upper_id_hi").select("upper_id", "lower_id").distinct()
+def overlaps(upper: DataFrame, lower: DataFrame) -> DataFrame:
+    """(upper_id, lower_id) of files whose key ranges meet, ends included. Of two ranges that meet one begins within the
+    other, so two joins of points with ranges find every pair once."""
+    u = upper.select(F.col("sst_id").alias("upper_id"), F.col("first_key").alias("u_lo"), F.col("last_key").alias("u_hi"))
+    l = lower.select(F.col("sst_id").alias("lower_id"), F.col("first_key").alias("l_lo"), F.col("last_key").alias("l_hi"))  # noqa: E741
+    first = ranges.points_in(u, l, "u_lo", "u_hi", "l_lo").select("upper_id", "lower_id")
+    inside = l.where("l_lo < l_hi").withColumn("l_lo", F.col("l_lo") + 1)  # the other way round, without equal beginnings
+    return first.unionByName(ranges.points_in(inside, u, "l_lo", "l_hi", "u_lo").select("upper_id", "lower_id"))
 
 
 def touching(files: DataFrame, low=None, high=None) -> DataFrame:
@@ -71,6 +75,14 @@ def leveled_choice(sizes: list[int], l0_files: int, *, trigger: int = 3, base: i
     return {"upper": upper, "lower": upper + 1, "bottom": upper + 1 == len(sizes), "targets": targets}
 
 
+def simple_task(files: list[int], *, trigger: int = 3, ratio_percent: int = 200) -> dict | None:
+    """As simple_choice, for the numbers of files of one store's levels, on the driver: a whole level goes into the next."""
+    for upper, (n, below) in enumerate(zip(files[:-1], files[1:], strict=True)):
+        if n and (upper or n >= trigger) and below * 100 < n * ratio_percent:
+            return {"upper": upper, "lower": upper + 1}
+    return None
+
+
 def simple_choice(counts: DataFrame, *, trigger: int = 3, ratio_percent: int = 200) -> DataFrame:
     """state, upper, lower: the first level whose next one has too few files beside it. counts: state, level, files."""
     by = Window.partitionBy("state").orderBy("level")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.folders import shared_dir
+from palimpsest.operators import graph, ranges
 from palimpsest.shipping import ship
 
 
@@ -33,14 +35,16 @@ def last_in_batch(rows: DataFrame, batch: str, key: str, position: str) -> DataF
     return rows.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 
 
-def watermarks(readers: DataFrame, moments: DataFrame, *, width: int = 64) -> DataFrame:
+def watermarks(readers: DataFrame, moments: DataFrame) -> DataFrame:
     """For each moment ts the oldest read_ts of the readers open then (read_ts <= ts < closed_ts), ts itself if none is.
 
-    An interval join on buckets of the clock: a reader is copied to the buckets that it spans."""
-    spans = readers.withColumn("b", F.explode(F.sequence(F.floor(F.col("read_ts") / width), F.floor((F.col("closed_ts") - 1) / width))))
-    at = moments.select("ts").distinct().withColumn("b", F.floor(F.col("ts") / width))
-    open_then = at.join(spans, "b").where("read_ts <= ts and ts < closed_ts").groupBy("ts").agg(F.min("read_ts").alias("oldest"))
-    return at.select("ts").join(open_then, "ts", "left").select("ts", F.coalesce("oldest", "ts").alias("watermark"))
+    A reader is cut into the nodes of its span, and each node keeps its oldest reader alone, so neither the length of a span
+    nor the number of readers open at once makes rows."""
+    pieces = ranges.cut(readers.withColumn("last", F.col("closed_ts") - 1), "read_ts", "last")
+    oldest = pieces.groupBy("level", "n").agg(F.min("read_ts").alias("oldest"))
+    at = moments.select("ts").distinct()
+    open_then = ranges.spread(at, "ts", ranges.levels_of(oldest)).join(oldest, ["level", "n"]).groupBy("ts").agg(F.min("oldest").alias("oldest"))
+    return at.join(open_then, "ts", "left").select("ts", F.coalesce("oldest", "ts").alias("watermark"))
 
 
 def watermark(readers: DataFrame, clock_ts: int) -> DataFrame:
@@ -53,23 +57,23 @@ def prune(committed: DataFrame, oldest: int) -> DataFrame:
     return committed.where(F.col("commit_ts") >= oldest)
 
 
-def conflicts(txns: DataFrame, *, width: int = 64) -> DataFrame:
+def conflicts(txns: DataFrame) -> DataFrame:
     """(txn, blocker): transactions that wrote, and ones that committed after it began and before it did and wrote what it read.
 
-    txns: txn, read_ts, commit_ts, read_set, write_set (arrays). Sets meet in an equi-join on the key and a bucket of the
-    clock, so a hot key isn't joined with its whole past."""
-    reads = txns.where("size(write_set) > 0").select("txn", "read_ts", "commit_ts", F.explode(F.array_distinct("read_set")).alias("key"))
-    reads = reads.withColumn("b", F.explode(F.sequence(F.floor((F.col("read_ts") + 1) / width), F.floor(F.col("commit_ts") / width))))
+    txns: txn, read_ts, commit_ts, read_set, write_set (arrays). Sets meet in an equi-join on the key and a node of the
+    clock, so a hot key isn't joined with its whole past, however long a transaction was open."""
+    reads = txns.where("size(write_set) > 0").select("txn", (F.col("read_ts") + 1).alias("after"), (F.col("commit_ts") - 1).alias("before"), F.explode(F.array_distinct("read_set")).alias("key"))
     writes = txns.select(F.col("txn").alias("blocker"), F.col("commit_ts").alias("ts"), F.explode(F.array_distinct("write_set")).alias("key"))
-    writes = writes.withColumn("b", F.floor(F.col("ts") / width))
-    return reads.join(writes, ["key", "b"]).where("txn <> blocker and ts > read_ts and ts < commit_ts").select("txn", "blocker").distinct()
+    return ranges.points_in(reads, writes, "after", "before", "ts", on=("key",)).where("txn <> blocker").select("txn", "blocker").distinct()
 
 
 def _outcomes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    aborted: set[int] = set()
+    component, aborted = None, set()
     for rows in batches:
         out = []
-        for txn, by in zip(rows["txn"], rows["blocker"], strict=True):
+        for mine, txn, by in zip(rows["component"], rows["txn"], rows["blocker"], strict=True):
+            if mine != component:
+                component, aborted = mine, set()
             stopped = any(b not in aborted for b in by)
             if stopped:
                 aborted.add(txn)
@@ -79,8 +83,13 @@ def _outcomes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def outcomes(txns: DataFrame) -> DataFrame:
     """txn, committed as commits in order of commit_ts decide: an aborted transaction's writes stop nobody. Decisions depend
-    on each other in order, so the transactions with conflicts, and those alone, pass through one task."""
-    ship(txns.sparkSession)
-    pairs = conflicts(txns).groupBy("txn").agg(F.collect_list("blocker").alias("blocker")).join(txns.select("txn", "commit_ts"), "txn")
-    stopped = pairs.repartition(1).sortWithinPartitions("commit_ts").select("txn", "blocker").mapInPandas(_outcomes, "txn long, aborted boolean")
+    on each other in order, but only along conflicts: each connected component of them passes in order through one task, and
+    transactions without conflicts through none."""
+    spark = txns.sparkSession
+    ship(spark)
+    folder = shared_dir(spark)
+    pairs = graph.written(conflicts(txns), folder, "pairs")
+    of = graph.components(pairs.select(F.col("txn").alias("a"), F.col("blocker").alias("b")), folder)
+    waiting = pairs.groupBy("txn").agg(F.collect_list("blocker").alias("blocker")).join(txns.select("txn", "commit_ts"), "txn").join(of.withColumnRenamed("node", "txn"), "txn")
+    stopped = waiting.repartition("component").sortWithinPartitions("component", "commit_ts").select("component", "txn", "blocker").mapInPandas(_outcomes, "txn long, aborted boolean")
     return txns.select("txn").join(stopped, "txn", "left").select("txn", F.coalesce(~F.col("aborted"), F.lit(True)).alias("committed"))

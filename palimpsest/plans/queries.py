@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest import model
+from palimpsest.folders import shared_dir
 from palimpsest.functions import bloom
 from palimpsest.functions.bytewise import common_prefix
 from palimpsest.functions.hash32 import hash32
 from palimpsest.operators import compact, layout, merge, mvcc, read
 from palimpsest.plans import script
+from palimpsest.sources import formats
+from palimpsest.sources.store import Conflict, Store
 
 L = "(SELECT user_id AS k, event_id + 1 AS cts, CASE WHEN event_type = 'error' THEN '' ELSE coalesce(props, '') END AS v FROM events)"
 O = "(SELECT o_custkey AS k, o_orderkey + 1 AS cts, CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderpriority END AS v FROM orders)"  # noqa: E741
@@ -258,12 +261,12 @@ def sst_metadata(spark, d):
 
 
 @query(
-    f"WITH u AS (SELECT (cts - 1) // 7 AS id, min(k) AS lo, max(k) AS hi FROM {L} WHERE cts <= 3500 GROUP BY 1), l AS (SELECT k // 16 AS id, min(k) AS lo, max(k) AS hi FROM {L} GROUP BY 1) "
+    f"WITH u AS (SELECT (cts - 1) // 7 AS id, min(k) AS lo, max(k) AS hi FROM {L} GROUP BY 1), l AS (SELECT k // 16 AS id, min(k) AS lo, max(k) AS hi FROM {L} GROUP BY 1) "
     "SELECT u.id AS upper_id, l.id AS lower_id FROM u JOIN l ON u.lo <= l.hi AND l.lo <= u.hi"
 )
 def sst_overlap(spark, d):
     log = model.events_log(spark, d)
-    return compact.overlaps(compact.files_of(log.where("cts <= 3500"), F.expr("(cts - 1) div 7")), compact.files_of(log, F.expr("k div 16")), width=16)
+    return compact.overlaps(compact.files_of(log, F.expr("(cts - 1) div 7")), compact.files_of(log, F.expr("k div 16")))
 
 
 @query(f"SELECT sst_id, first_key, last_key FROM {META} WHERE last_key >= 40 AND first_key <= 90")
@@ -306,31 +309,36 @@ def manifest_replay(spark, d):
 # The hash of a key's eight bytes, written out: two words of four bytes (no rest), each in little-endian order.
 _WORD = lambda shift: " + ".join(f"((k >> {56 - shift - 8 * j}) & 255) * {256**j}" for j in range(4))
 _STEP = lambda h, w: f"CAST(({h} + {w}) % 4294967296 * CAST(3332679571 AS HUGEINT) % 4294967296 AS BIGINT)"
-HASH = (
+_HASHED = lambda keys: (
     f"(SELECT k, xor(m2, m2 >> 16) AS h FROM (SELECT k, {_STEP('h1', 'w2')} AS m2 FROM (SELECT k, w2, xor(m1, m1 >> 16) AS h1 FROM "
     f"(SELECT k, w2, {_STEP(f'xor(CAST(3164544308 AS BIGINT), CAST(8 * CAST(3332679571 AS HUGEINT) % 4294967296 AS BIGINT))', 'w1')} AS m1 "
-    f"FROM (SELECT k, {_WORD(0)} AS w1, {_WORD(32)} AS w2 FROM (SELECT DISTINCT user_id AS k FROM events))))))"
+    f"FROM (SELECT k, {_WORD(0)} AS w1, {_WORD(32)} AS w2 FROM ({keys}))))))"
 )
+KEYS = "SELECT DISTINCT user_id AS k FROM events"
+HASH = _HASHED(KEYS)
 
 
-def _hashes(spark, d) -> DataFrame:
-    keys = model.table(spark, d, "events").select(F.col("user_id").alias("k")).distinct()
+def _hashes(keys: DataFrame) -> DataFrame:
     return keys.select("k", hash32(model.encode_u64("k")).alias("h"))
 
 
+def _users(spark, d) -> DataFrame:
+    return model.table(spark, d, "events").select(F.col("user_id").alias("k")).distinct()
+
+
 @query(f"SELECT k, h FROM {HASH}")
 def hash32_keys(spark, d):
-    return _hashes(spark, d)
+    return _hashes(_users(spark, d))
 
 
 BITS = (
-    f"(SELECT DISTINCT f.filter, nbits, (f.h + i * ((f.h >> 17) | ((f.h << 15) & 4294967295))) % 4294967296 % nbits AS bit FROM (SELECT k % 7 AS filter, h FROM {HASH} WHERE k % 2 = 0) f "
-    f"JOIN (SELECT k % 7 AS filter, (greatest(count(*) * 10, 64) + 7) // 8 * 8 AS nbits FROM {HASH} WHERE k % 2 = 0 GROUP BY 1) n ON n.filter = f.filter, (SELECT range AS i FROM range(0, 6)))"
+    f"(SELECT DISTINCT f.filter, nbits, (f.h + i * ((f.h >> 17) | ((f.h << 15) & 4294967295))) % 4294967296 % nbits AS bit FROM (SELECT k % 7 AS filter, h FROM {HASH}) f "
+    f"JOIN (SELECT k % 7 AS filter, (greatest(count(*) * 10, 64) + 7) // 8 * 8 AS nbits FROM {HASH} GROUP BY 1) n ON n.filter = f.filter, (SELECT range AS i FROM range(0, 6)))"
 )
 
 
 def _filters(spark, d) -> DataFrame:
-    return bloom.build(_hashes(spark, d).where("k % 2 = 0").select((F.col("k") % 7).alias("filter"), "h"), bloom.bits_per_key(1000, 0.01))
+    return bloom.build(_hashes(_users(spark, d)).select((F.col("k") % 7).alias("filter"), "h"), bloom.bits_per_key(1000, 0.01))
 
 
 @query(f"SELECT filter, nbits, bit FROM {BITS}")
@@ -338,13 +346,18 @@ def bloom_bits(spark, d):
     return _filters(spark, d)
 
 
+PROBES = _HASHED(f"{KEYS} UNION ALL SELECT k + 1000000007 FROM ({KEYS})")
+
+
 @query(
-    f"WITH b AS MATERIALIZED (SELECT * FROM {BITS}), n AS (SELECT filter, max(nbits) AS nbits FROM b GROUP BY 1), p AS (SELECT k % 7 AS filter, h FROM {HASH}) "
+    f"WITH b AS MATERIALIZED (SELECT * FROM {BITS}), n AS (SELECT filter, max(nbits) AS nbits FROM b GROUP BY 1), p AS (SELECT DISTINCT k % 7 AS filter, h FROM {PROBES}) "
     "SELECT p.filter, p.h, count(b.bit) = 6 AS may_contain FROM p LEFT JOIN n ON n.filter = p.filter CROSS JOIN (SELECT range AS i FROM range(0, 6)) "
     "LEFT JOIN b ON b.filter = p.filter AND b.bit = (p.h + i * ((p.h >> 17) | ((p.h << 15) & 4294967295))) % 4294967296 % n.nbits GROUP BY p.filter, p.h"
 )
 def bloom_probe(spark, d):
-    return bloom.may_contain(_hashes(spark, d).select((F.col("k") % 7).alias("filter"), "h"), _filters(spark, d), bloom.bits_per_key(1000, 0.01))
+    users = _users(spark, d)
+    probes = users.unionByName(users.select((F.col("k") + 1000000007).alias("k")))  # all keys, and as many that no filter holds
+    return bloom.may_contain(_hashes(probes).select((F.col("k") % 7).alias("filter"), "h"), _filters(spark, d), bloom.bits_per_key(1000, 0.01))
 
 
 def _sized(spark, d) -> DataFrame:
@@ -385,3 +398,129 @@ def key_prefix_lengths(spark, d):
     keys = model.table(spark, d, "events").select(F.col("user_id").alias("k")).distinct()
     pairs = keys.withColumn("prev", F.lag("k").over(Window.partitionBy(F.col("k") % 16).orderBy("k"))).where("prev is not null")
     return pairs.select("k", "prev", common_prefix(model.encode_u64("k"), model.encode_u64("prev")).cast("long").alias("shared"))
+
+
+# Queries that go through a store.
+
+
+def _store(spark, **options) -> Store:
+    return Store.open(spark, shared_dir(spark), **options)
+
+
+def _rows(log: DataFrame) -> DataFrame:
+    """key, value, pos of a store's large write."""
+    return log.select(model.encode_u64("k").alias("key"), F.col("v").cast("binary").alias("value"), F.col("cts").alias("pos"))
+
+
+def _parts(log: DataFrame, n: int) -> list[DataFrame]:
+    """The log in n stretches of its time, all of it."""
+    last = model.last_ts(log)
+    bounds = [last * i // n for i in range(n + 1)]
+    return [log.where((F.col("cts") > a) & (F.col("cts") <= b)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _live(rows: DataFrame) -> DataFrame:
+    return rows.select(model.decode_u64("k").alias("k"), F.col("v").cast("string").alias("v"))
+
+
+@query(f"SELECT k, v FROM {newest_sql(L)} WHERE v <> ''")
+def store_writes_reopened(spark, d):
+    """Large writes and deletes, one commit each, read by a store that was opened afterwards."""
+    store = _store(spark, snapshot_every=2)
+    for part in _parts(model.events_log(spark, d), 3):
+        store.write(_rows(part))
+    return _live(Store.open(spark, store.folder.path).scan())
+
+
+@query(f"SELECT k, v FROM {newest_sql(L)} WHERE v <> ''")
+def store_compaction_roundtrip(spark, d):
+    """Leveled steps, full compactions and flushes between the writes change no read."""
+    store = _store(spark, trigger=2, base_bytes=20_000, file_bytes=50_000)
+    for i, part in enumerate(_parts(model.events_log(spark, d), 5)):
+        store.write(_rows(part))
+        if i == 1:
+            store.compact_all()
+        elif i > 1:
+            store.compact()
+    store.flush()
+    return _live(Store.open(spark, store.folder.path).scan())
+
+
+@query(f"SELECT k, v FROM {newest_sql(L, 'cts <= (SELECT max(event_id + 1) * 2 // 4 FROM events)')} WHERE v <> ''")
+def store_snapshot_held(spark, d):
+    """A transaction that began halfway reads its snapshot, although later writes and garbage collection have come since."""
+    store, parts = _store(spark, trigger=2), _parts(model.events_log(spark, d), 4)
+    for part in parts[:2]:
+        store.write(_rows(part))
+    held = store.begin()
+    for part in parts[2:]:
+        store.write(_rows(part))
+    while store.compact():
+        pass
+    return _live(held.scan().select("k", "v"))
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(8 + 8 + strlen(v)) AS BIGINT) AS n_bytes FROM (SELECT k, part, v FROM (SELECT k, v, part, row_number() OVER (PARTITION BY k, part ORDER BY cts DESC) AS rn FROM (SELECT *, (cts > (SELECT max(event_id + 1) // 2 FROM events)) AS part FROM {L})) WHERE rn = 1)")
+def store_dump(spark, d):
+    """What the manifest says of the files of two writes: each has a key's last value."""
+    store = _store(spark)
+    for part in _parts(model.events_log(spark, d), 2):
+        store.write(_rows(part))
+    return store.dump().agg(F.sum("n").alias("n_rows"), F.sum("size").alias("n_bytes"))
+
+
+@query(f"SELECT k, CAST(count(*) AS BIGINT) AS versions FROM (SELECT DISTINCT k, part FROM (SELECT k, least((cts - 1) * 4 // (SELECT max(event_id + 1) FROM events), 3) AS part FROM {L})) GROUP BY k")
+def store_simple_compaction(spark, d):
+    """Whole levels go into the next, merged only: every version stays."""
+    store, log = _store(spark, strategy="simple", trigger=2, ratio_percent=100), model.events_log(spark, d)
+    last = model.last_ts(log)
+    for i in range(4):
+        store.write(_rows(log.where(f"least((cts - 1) * 4 div {last}, 3) = {i}")))
+        while store.compact():
+            pass
+    return store.versions().groupBy(model.decode_u64("k").alias("k")).agg(F.count("*").alias("versions"))
+
+
+N = "(SELECT n_nationkey AS i, n_regionkey AS r, n_name AS name FROM nation)"
+
+
+@query("SELECT 'region ' || n_regionkey AS k, CAST(count(*) + 100 AS VARCHAR) AS v FROM nation GROUP BY n_regionkey")
+def store_transactions(spark, d):
+    """Counters that transactions read and write, one for each nation; then two at once for each region, of which one fails."""
+    store = _store(spark)
+    nations = model.table(spark, d, "nation").select("n_regionkey").orderBy("n_nationkey").collect()
+    for (r,) in nations:
+        with store.begin() as txn:
+            txn.put(f"region {r}", str(int(txn.get(f"region {r}") or 0) + 1))
+    for r in sorted({r for (r,) in nations}):
+        first, second = store.begin(), store.begin()
+        for txn, more in ((first, 100), (second, 1000)):
+            txn.put(f"region {r}", str(int(txn.get(f"region {r}")) + more))
+        first.commit()
+        try:
+            second.commit()
+        except Conflict:
+            continue
+    return store.scan().select(F.col("k").cast("string").alias("k"), F.col("v").cast("string").alias("v"))
+
+
+@query(f"SELECT name AS k, CASE WHEN r = 2 THEN 'second' ELSE 'first' END AS v FROM {N} WHERE r <> 3")
+def store_log_replay(spark, d):
+    """Small batches in memory tables that are frozen and flushed as they fill; a store opened later replays the logs."""
+    store = _store(spark, flush_bytes=150, tables=3)
+    nations = [tuple(r) for r in model.table(spark, d, "nation").select("n_name", "n_regionkey").orderBy("n_nationkey").collect()]
+    store.write_batch([n for n, _ in nations], ["first"] * len(nations))
+    for name, r in nations:
+        if r in (2, 3):
+            (store.delete if r == 3 else lambda k: store.put(k, "second"))(name)
+    again = Store.open(spark, store.folder.path)
+    return again.scan().select(F.col("k").cast("string").alias("k"), F.col("v").cast("string").alias("v"))
+
+
+@query(f"SELECT k, cts, v FROM {L}")
+def sorted_file_roundtrip(spark, d):
+    """The log as binary sorted files of blocks, a file for 16 keys, and read back from their bytes."""
+    log = model.events_log(spark, d)
+    rows = log.select(F.expr("k div 16").alias("file"), model.encode_u64("k").alias("key"), F.col("cts").alias("commit_ts"), F.col("v").cast("binary").alias("value"))
+    back = formats.unpacked(formats.packed(rows, "file", block_bytes=1024))
+    return back.select(model.decode_u64("key").alias("k"), F.col("commit_ts").alias("cts"), F.col("value").cast("string").alias("v"))

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.functions import bloom
+from palimpsest.functions.hash32 import hash32_of
 from palimpsest.shipping import ship
 
 ROWS = "path string, key binary, commit_ts long, value binary"
@@ -126,12 +128,45 @@ def _reader(decode):
     return run
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
+def read_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Versions in write-ahead log files; a torn tail is left out."""
     ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_reader(log_records), ROWS)
 
 
-def read_sorted_files(spark: SparkSession, path: str) -> DataFrame:
-    ship(spark)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_reader(sorted_file_rows), ROWS)
+def read_sorted_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return unpacked(spark.read.format("binaryFile").load(path))
+
+
+def unpacked(files: DataFrame) -> DataFrame:
+    """Versions in sorted files (path, content)."""
+    ship(files.sparkSession)
+    return files.select("path", "content").mapInPandas(_reader(sorted_file_rows), ROWS)
+
+
+def sorted_file(rows: list[tuple[bytes, int, bytes]], block_bytes: int, false_positives: float = 0.01) -> bytes:
+    """A sorted file of rows in order: a block takes rows up to its size, and all versions of its last key."""
+    blocks: list[list[tuple[bytes, int, bytes]]] = []
+    size = 0
+    for row in rows:
+        n = 14 + len(row[0]) + len(row[2])
+        if not blocks or size + n > block_bytes and blocks[-1][-1][0] != row[0]:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(row)
+        size += n
+    bits = bloom.bits_per_key(len(rows), false_positives)
+    return sorted_file_bytes(blocks, bloom.filter_bytes({hash32_of(k) for k, _, _ in rows}, bits))
+
+
+def packed(rows: DataFrame, file: str, *, block_bytes: int = 8192) -> DataFrame:
+    """path, content: a sorted file of the rows (key, commit_ts, value) of each value of a column. A file is held whole in a
+    task, so files must be small (16 MiB, say)."""
+    ship(rows.sparkSession)
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.assign(order=-group["commit_ts"]).sort_values(["key", "order"])
+        entries = [(bytes(k), int(t), bytes(v)) for k, t, v in zip(group["key"], group["commit_ts"], group["value"], strict=True)]
+        return pd.DataFrame({"path": [str(group[file].iloc[0])], "content": [sorted_file(entries, block_bytes)]})
+
+    return rows.select(file, "key", "commit_ts", "value").groupBy(file).applyInPandas(one, "path string, content binary")

@@ -10,20 +10,20 @@ from palimpsest.sources.store import Store
 
 
 def into_store(rows: DataFrame, store: Store, checkpoint: str, *, compact: bool = True, trigger: dict | None = None) -> StreamingQuery:
-    """Every micro-batch of (key, value[, pos]) is one atomic commit; compaction runs after it while it is due. The batch's
-    number is kept in the store, so a batch that is run again after a failure isn't written twice."""
+    """Every micro-batch of (key, value[, pos]) is one atomic commit; compaction runs after it while it is due. The commit
+    itself names the stream (by its checkpoint) and the batch's number, so a batch that is run again after a failure, wherever
+    that was, isn't written twice."""
 
     def batch(df: DataFrame, number: int) -> None:
-        mark = f"batches/{number:020d}"
-        if f"{number:020d}" in store.folder.names("batches"):
+        store.refresh()
+        if store.state["streams"].get(checkpoint, -1) >= number:
             return
         df = df.persist()
         if not df.isEmpty():
-            store.write(df)
+            store.write(df, stream=(checkpoint, number))
             while compact and store.compact():
                 pass
         df.unpersist()
-        store.folder.create(mark, "")
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
