@@ -21,15 +21,16 @@ def forget(spark: SparkSession, folder: str, *names: str) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
-def components(edges: DataFrame, folder: str) -> DataFrame:
-    """(node, component): the smallest node that a node reaches over undirected edges (a, b). Nodes without edges are absent.
+def components(edges: DataFrame, folder: str, name: str = "components") -> DataFrame:
+    """(node, component), a written table: the smallest node that a node reaches over undirected edges (a, b). Nodes without
+    edges are absent.
 
     Alternates the two star operations of Kiveris et al. (2014) until the edges stay: every step is an aggregation by
     node and a join, and the edges are written between steps. Nulls and loops are ignored."""
     spark = edges.sparkSession
     now = written(
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-        folder, "edges_0",
+        folder, f"{name}_0",
     )
     step, before = 0, None
     while True:
@@ -42,12 +43,13 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         tied = large.join(low, "a")
         small = tied.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         step += 1
-        after = written(small, folder, f"edges_{step}")
+        after = written(small, folder, f"{name}_{step}")
         sums = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        forget(spark, folder, f"edges_{step - 1}")
+        forget(spark, folder, f"{name}_{step - 1}")
         if sums == before:
             break
         now, before = after, sums
-    return after.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+    heads = after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    out = written(after.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(heads), folder, name)
+    forget(spark, folder, f"{name}_{step}")
+    return out
