@@ -15,16 +15,22 @@ LEVELS = 63
 def nodes(low: Column, high: Column) -> Column:
     """An array of structs level, n: the nodes that make up low..high, both included; empty where low > high or one is null."""
 
-    def at(level: Column) -> Column:
+    def bounds(level: Column) -> tuple[Column, Column]:
+        """The first node that begins in the range, and the last that ends in it."""
         mask = F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1
-        first = F.call_function("shiftright", low, level) + F.when(low.bitwiseAND(mask) != 0, 1).otherwise(0)  # the first node that begins in it
         top = F.call_function("shiftright", high, level)
-        last = F.when(high.bitwiseAND(mask) == mask, top).otherwise(top - 1)  # the last that ends in it
+        return F.call_function("shiftright", low, level) + F.when(low.bitwiseAND(mask) != 0, 1).otherwise(0), F.when(high.bitwiseAND(mask) == mask, top).otherwise(top - 1)
+
+    def at(level: Column) -> Column:
+        first, last = bounds(level)
         odd, even = first.bitwiseAND(F.lit(1).cast("long")) == 1, last.bitwiseAND(F.lit(1).cast("long")) == 0
         node = lambda take, n: F.when((first <= last) & take, F.struct(level.alias("level"), n.alias("n")))
         return F.array(node(odd, first), node(even, last))
 
-    each = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at))
+    top = F.lit(LEVELS - 1)
+    first, last = bounds(top)
+    rest = F.when(first <= last, F.transform(F.sequence(first, last), lambda n: F.struct(top.alias("level"), n.alias("n"))))  # four at most
+    each = F.concat(F.flatten(F.transform(F.sequence(F.lit(0), top - 1), at)), F.coalesce(rest, F.array().cast("array<struct<level:int,n:bigint>>")))
     return F.when(low <= high, F.filter(each, lambda x: x.isNotNull()))
 
 
