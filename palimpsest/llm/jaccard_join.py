@@ -15,8 +15,9 @@ have in common from above, then against the sets.
 
 Within a signature's bucket, members are compared with its most popular member (whose signatures have most company), which
 near copies resemble most. Whatever that joins is one component. Pairs that a bucket leaves open, across components, are
-narrowed by a prefix filter before they are formed: with features in one order, rarest first, two sets that have c features
-in common share one among the first n - c + 1 of each. So a bucket of thousands of near copies costs a comparison each.
+narrowed by a prefix filter before they are formed: with features in one order, two sets that have c features in common
+share one among the first n - c + 1 of each. The order has the features of a single component first, which join nothing and
+are only counted, then the others, rarest first. So a bucket of thousands of near copies costs a comparison each.
 """
 
 from __future__ import annotations
@@ -218,13 +219,15 @@ def _possible(percent: int):
     return run
 
 
-def _features(n: int):
+def _features(of: str):
+    """feature and what it is of (the column node or component), from rows with sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in shared.chunks(batches, "text", 1 << 20):
-            sets = [s for s in _sets(texts, n) if len(s)]
-            if sets:
-                sizes = [len(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat([_key(s) for s in sets], sizes)), pa.array(np.repeat(sizes, sizes))], names=["feature", "node", "n"])
+        for batch in batches:
+            if batch.num_rows:
+                sets = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column("set")]
+                whose = np.repeat(batch.column(of).to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(whose)], names=["feature", of])
 
     return run
 
@@ -263,61 +266,80 @@ def similar_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_
 
     signed = read.mapInArrow(_signed(shingle, bands), "sig long, node long")
     buckets = shared.written(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared_rows, "sig long, node long").distinct(), folder, "buckets")
+    shared.release(spark)
     # each set leaves out its signatures in the largest buckets, as far as no link is lost: common passages alone fill those
     crowds = buckets.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
     by_size = Window.partitionBy("node", "instance").orderBy(F.desc("size"), "sig")
     ranked = buckets.join(crowds, "sig").withColumn("instance", F.expr("sig & 255")).withColumn("place", F.row_number().over(by_size))
     limits = nodes.select("node", "band", "drop", "drop_below")
-    thinned = shared.written(ranked.join(limits, "node").where("place > if(instance = band, drop, drop_below)").select("sig", "node", "size"), folder, "thinned")
+    thinned = shared.kept(ranked.join(limits, "node").where("place > if(instance = band, drop, drop_below)").select("sig", "node", "size"))
     popular = thinned.groupBy("node").agg(F.sum("size").alias("company"))
     met = thinned.join(popular, "node")
     led = met.groupBy("sig").agg(F.max(F.struct("company", "node")).alias("top"), F.count("*").alias("size")).where("size > 1").select("sig", F.col("top.node").alias("leader"))
     members = shared.written(thinned.select("sig", "node").join(led, "sig").where("node <> leader"), folder, "members")
+    thinned.unpersist()
+    shared.forget(spark, folder, "buckets")
+    shared.release(spark)
 
-    def sources(wanted: DataFrame, name: str) -> DataFrame:
-        """A text for each of some nodes."""
-        ids = shared.written(nodes.join(wanted, "node", "left_semi").select(F.col("doc_id").alias("wanted")).distinct(), folder, name)
-        return shared.by_ids(read, ids, F.expr("doc_id <=> wanted"), "left_semi")
+    def sources(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The ids of some nodes, kept, and a text for each."""
+        ids = shared.kept(nodes.join(wanted, "node", "left_semi").select(F.col("doc_id").alias("wanted")).distinct())
+        return ids, shared.by_ids(read, ids, F.expr("doc_id <=> wanted"), "left_semi")
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
-        """a, b, and what their sets have in common, for the pairs that may link."""
+        """a, b: those of the pairs that link."""
         a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         sketched = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "sa", "nb", "sb")
-        pairs = shared.written(sketched.mapInArrow(_possible(percent), "a long, b long"), folder, f"{name}_pairs")
+        pairs = shared.kept(sketched.mapInArrow(_possible(percent), "a long, b long"))
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = shared.written(sources(wanted, f"{name}_ids").mapInArrow(_blobs(shingle), "node long, set binary"), folder, f"{name}_sets")
+        ids, texts = sources(wanted)
+        sets = shared.kept(texts.mapInArrow(_blobs(shingle), "node long, set binary").dropDuplicates(["node"]))  # ids may repeat
         left = sets.select(F.col("node").alias("a"), F.col("set").alias("left"))
         right = sets.select(F.col("node").alias("b"), F.col("set").alias("right"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-        return shared.written(both.mapInArrow(_similarities, "a long, b long, common long, union long"), folder, name)
+        done = shared.written(both.mapInArrow(_similarities, "a long, b long, common long, union long").where(linked).select("a", "b").distinct(), folder, name)
+        for table in (pairs, ids, sets):
+            table.unpersist()
+        shared.release(spark)
+        return done
 
-    first = checked(members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "first")
     linked = F.expr(f"100 * common >= {percent} * union")
-    links = first.where(linked).select("a", "b").distinct()
-    groups = shared.written(shared.components(links, folder), folder, "groups")
+    links = checked(members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "first")
+    groups = shared.components(links, folder, "groups")
 
     # what the leaders leave open: members of one bucket, in different components
     seats = members.join(groups, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
     several = seats.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
     left_open = shared.written(seats.join(several, "sig", "left_semi").select("node", "component").distinct(), folder, "open")
-    features = shared.written(sources(left_open.select("node"), "open_ids").mapInArrow(_features(shingle), "feature long, node long, n long").distinct().join(left_open, "node"), folder, "features")
-    held_by = features.groupBy("feature").agg(F.count("*").alias("held_by"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    order = Window.partitionBy("node").orderBy("held_by", "feature")
-    ordered = features.join(held_by, "feature").withColumn("place", F.row_number().over(order) - 1)
+    shared.forget(spark, folder, "members", "groups")
+    ids, texts = sources(left_open.select("node"))
+    sets = shared.kept(texts.mapInArrow(_blobs(shingle), "node long, set binary").join(left_open, "node").dropDuplicates(["node"]))
+    held = sets.mapInArrow(_features("component"), "feature long, component long").groupBy("feature").agg(F.count("*").alias("held_by"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    several = shared.written(held.where("lo < hi").select("feature", "held_by"), folder, "several")  # of several components
+    shared.release(spark)
+    of_node = Window.partitionBy("node")
+    alone = F.col("n") - F.count("*").over(of_node)  # features of the set's component alone, which come first
+    joining = sets.mapInArrow(_features("node"), "feature long, node long").join(several, "feature")
+    described = joining.join(sets.select("node", "component", F.expr("cast(octet_length(set) div 8 as long)").alias("n")), "node")
+    ordered = described.withColumn("place", alone + F.row_number().over(of_node.orderBy("held_by", "feature")) - 1)
     # two sets that link have common(m, n) features in common at least, so they share one of the first m - common + 1
     common = lambda m, n: f"ceil({percent} * ({m} + {n}) / {100 + percent}D - 1e-9)"
-    firsts = ordered.where(f"lo < hi and place <= n - ceil(n * {percent} / 100D - 1e-9)").select("feature", "node", "component", "n", "place")
+    firsts = ordered.where(f"place <= n - ceil(n * {percent} / 100D - 1e-9)").select("feature", "node", "component", "n", "place")
     firsts = shared.written(firsts, folder, "firsts")
+    sets.unpersist()
+    ids.unpersist()
+    shared.release(spark)
     x = firsts.where(f"place <= n - {common('n', 'n')}").select("feature", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("place").alias("pa"))
     y = firsts.select("feature", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
     fits = f"(na < nb or na = nb and a < b) and ca <> cb and 100 * na >= {percent} * nb and pa <= na - {common('na', 'nb')} and pb <= nb - {common('na', 'nb')}"
-    more = checked(x.join(y, "feature").where(fits).select("a", "b").distinct(), "more").where(linked).select("a", "b")
-    joined = shared.written(shared.components(links.unionByName(more), folder), folder, "components")
+    more = checked(x.join(y, "feature").where(fits).select("a", "b").distinct(), "more")
+    joined = shared.components(links.unionByName(more), folder, "components")
     smallest = full.join(joined, "node").groupBy("component").agg(F.min("doc_id").alias("smallest"))
     named = joined.join(smallest, "component").select("node", "smallest", F.col("component").alias("group")).unionByName(nodes.join(joined, "node", "left_anti").select("node", F.col("doc_id").alias("smallest"), F.col("node").alias("group")))
     component = F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id")
     told = ["doc_id", "n_shingles", component, *(["group"] if carried else []), *(F.col(n).alias(c) for n, c in carried.items())]
     out = shared.written(rows.select("doc_id", "n_shingles", "node", *carried).join(named, "node", "left").select(*told), folder, "out")
-    shared.forget(spark, folder, "rows", "nodes", "buckets", "thinned", "members", "groups", "components", "open", "features", "firsts", "first", "first_sets", "first_pairs", "first_ids", "more", "more_sets", "more_pairs", "more_ids", "open_ids")
+    shared.forget(spark, folder, "rows", "nodes", "components", "open", "several", "firsts", "first", "more")
+    shared.release(spark)
     return out

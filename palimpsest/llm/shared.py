@@ -1,50 +1,40 @@
-"""What the corpus operators share: the shared folder, written tables, bounded Arrow batches, components."""
+"""What the corpus operators share: tables that are written or kept, bounded Arrow batches, joins with ids."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.folders import shared_dir
+from palimpsest.operators.graph import components, forget, written
 from palimpsest.shipping import ship
 
-#: Rows of a text table that one Arrow batch may hold; long texts make a batch of more rows too large.
-BATCH_ROWS = 1000
+__all__ = ["bounded_batches", "by_ids", "chunks", "components", "forget", "free_name", "kept", "release", "shared_dir", "written"]
+
+#: Rows and bytes of a table that one Arrow batch may hold (or one row).
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bytes of text that are worked on at once (or one text): arrays over them take some 50 times as much.
 CHUNK_BYTES = 1 << 20
 #: Ids that may be broadcast: a few MB.
 MOST_SENT = 250_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        have = spark.sparkContext.getCheckpointDir()
-        root = have or f"file://{tempfile.mkdtemp(prefix='palimpsest-')}"
-        if not have:
-            spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts lineage and outlives executors."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def kept(df: DataFrame) -> DataFrame:
+    """The rows on the executors' disks, for tables that are read again soon and made from written ones: what an executor
+    loses is made again from those. unpersist() frees them."""
+    return df.persist(StorageLevel.DISK_ONLY)
 
 
-def forget(spark: SparkSession, folder: str, *names: str) -> None:
-    """Deletes written tables."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in names:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        path.getFileSystem(hadoop).delete(path, True)
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now: it does so once the driver has dropped their objects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -60,6 +50,7 @@ def bounded_batches(spark: SparkSession) -> None:
     ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -76,39 +67,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
 
 
 def by_ids(rows: DataFrame, ids: DataFrame, condition, how: str) -> DataFrame:
-    """rows joined (left_semi or left_anti) with ids, a written table of one BIGINT. Up to MOST_SENT ids are sent to the
+    """rows joined (left_semi or left_anti) with ids, a written or kept table of one BIGINT. Up to MOST_SENT ids are sent to the
     rows, so texts aren't shuffled for a few of them; beyond, both sides are shuffled."""
     few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
     return rows.join(F.broadcast(ids) if few else ids, condition, how)
-
-
-def components(edges: DataFrame, folder: str) -> DataFrame:
-    """(node, component): the smallest node that a node reaches over undirected edges (a, b). Nodes without edges are absent.
-
-    Alternates the two star operations of Kiveris et al. (2014) until the edges stay: every step is an aggregation by
-    node and a join, and the edges are written between steps. Nulls and loops are ignored."""
-    spark = edges.sparkSession
-    now = written(
-        edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-        folder, "edges_0",
-    )
-    step, before = 0, None
-    while True:
-        # large star: each larger neighbour is tied to the smallest one
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # small star: the node and its smaller neighbours are tied to the smallest one
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        tied = large.join(low, "a")
-        small = tied.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        step += 1
-        after = written(small, folder, f"edges_{step}")
-        sums = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        forget(spark, folder, f"edges_{step - 1}")
-        if sums == before:
-            break
-        now, before = after, sums
-    return after.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )

@@ -46,23 +46,27 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def split(texts: pa.Array, lower: bool = False, space: np.ndarray = SPACE) -> Words:
-    """Words are runs of bytes outside space; lower: A-Z count as a-z."""
-    data, bounds = raw(texts)
+def runs(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of bytes outside space begin and end; none crosses the bounds of a text."""
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
     inside = ~space[data]
     before = np.empty(n, bool)
     before[:1], before[1:] = True, ~inside[:-1]
-    starts = np.flatnonzero(inside & (before | edge[:-1]))
     after = np.empty(n, bool)
     after[-1:], after[:-1] = True, ~inside[1:]
-    ends = np.flatnonzero(inside & (after | edge[1:])) + 1
-    lengths = ends - starts
+    return np.flatnonzero(inside & (before | edge[:-1])), np.flatnonzero(inside & (after | edge[1:])) + 1
+
+
+def split(texts: pa.Array, lower: bool = False, space: np.ndarray = SPACE) -> Words:
+    """Words are runs of bytes outside space; lower: A-Z count as a-z."""
+    data, bounds = raw(texts)
+    starts, ends = runs(data, bounds, space)
     hashes = np.zeros(0, np.uint64)
     if len(starts):
-        place = np.flatnonzero(inside).astype(np.int32 if n < 1 << 31 else np.int64)
+        lengths, inside = ends - starts, ~space[data]
+        place = np.flatnonzero(inside).astype(np.int32 if len(data) < 1 << 31 else np.int64)
         place -= np.repeat(starts.astype(place.dtype), lengths)
         weighed = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(int(lengths.max()), _BASE)]))[place]
         weighed *= (_LOWER if lower else _BYTE)[data[inside]]
