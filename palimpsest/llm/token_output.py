@@ -140,10 +140,10 @@ class Numbered(dict):
 class WordIds:
     """Ids of white-space separated words, each distinct word encoded once.
 
-    The vocabulary's pieces never cross white space, so a text's ids are its words' ids in order. Plain words (printable
+    Where the vocabulary's pieces never cross white space, a text's ids are its words' ids in order. Plain words (printable
     ASCII and Latin-1 letters, for which normalisation is lower-casing) go through a byte-pair encoder built from the
-    vocabulary's own ranks; all others go through the tokenizers library, as does everything where the vocabulary is not
-    of this kind."""
+    vocabulary's own ranks; all others go through the tokenizers library. Vocabularies that aren't of this kind encode whole
+    texts through the library."""
 
     MOST_WORDS, MOST_BYTES = 150_000, 16 << 20
     END = b""  # never a word: stands for the end id
@@ -167,6 +167,8 @@ class WordIds:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, kinds = spec["model"], (spec.get("normalizer") or {}).get("normalizers", [])
+        if not isinstance(model.get("vocab"), dict) or "merges" not in model:
+            return None, None
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         ordered = [model["vocab"].get(a + b) for a, b in merges]
@@ -188,7 +190,7 @@ class WordIds:
 
     def _ids(self, word: bytes, plain: bool) -> list[int]:
         text = word.decode()
-        if self.fast is None or not (plain or self.plain.fullmatch(text)):
+        if not (plain or self.plain.fullmatch(text)):
             return self.slow.encode(text, add_special_tokens=False).ids
         text = text.lower()
         if text.isalpha():
@@ -206,6 +208,9 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with its end id, and how many each text has."""
+        if self.fast is None:
+            got = [np.array([*self.slow.encode(t.decode(), add_special_tokens=False).ids, self.end_id], np.uint32) for t in texts]
+            return np.concatenate([np.zeros(0, np.uint32), *got]), np.array([len(x) for x in got], np.int64)
         body = b" ".join(texts)
         special = b"<|" in body  # a special token's string is found before lower-casing
         plain = not special and not body.translate(None, self.PLAIN) and b"\xc3\x97" not in body and b"\xc3\xb7" not in body and b"\xc2" not in body
