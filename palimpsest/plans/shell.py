@@ -53,6 +53,7 @@ def run(store: Store, lines: Iterable[str]) -> Iterator[str]:
             store.compact_all()
             yield "compacted"
         elif cmd == "dump":
+            yield from (f"memory {t['id']} {t['size']} bytes" for t in store.state["tables"])
             yield from (f"L{f['level']} {f['sst_id']} [{f['first_key']}, {f['last_key']}] {f['n']} rows" for f in store.files())
         elif cmd == "json":
             yield store.json()
