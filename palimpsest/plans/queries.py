@@ -13,7 +13,7 @@ from palimpsest.functions import bloom
 from palimpsest.functions.bytewise import common_prefix
 from palimpsest.functions.hash32 import hash32
 from palimpsest.operators import compact, layout, merge, mvcc, read
-from palimpsest.plans import script
+from palimpsest.plans import script, shell
 from palimpsest.sources import formats
 from palimpsest.sources.store import Conflict, Store
 
@@ -524,3 +524,35 @@ def sorted_file_roundtrip(spark, d):
     rows = log.select(F.expr("k div 16").alias("file"), model.encode_u64("k").alias("key"), F.col("cts").alias("commit_ts"), F.col("v").cast("binary").alias("value"))
     back = formats.unpacked(formats.packed(rows, "file", block_bytes=1024))
     return back.select(model.decode_u64("key").alias("k"), F.col("commit_ts").alias("cts"), F.col("value").cast("string").alias("v"))
+
+
+@query(f"SELECT k, v FROM {newest_sql(L, 'k BETWEEN 20 AND 60')} WHERE v <> ''")
+def store_range_scan(spark, d):
+    """A range of keys from sorted files of several levels; files outside the range aren't opened."""
+    store = _store(spark, file_bytes=20_000)
+    for part in _parts(model.events_log(spark, d), 2):
+        store.write(_rows(part))
+        store.compact_all()
+    return _live(store.scan(20, 60))
+
+
+@query("SELECT n_name AS k, n_nationkey || CASE WHEN n_regionkey = 1 THEN ' not exist' ELSE '=' || n_name || ' of region ' || n_regionkey END AS answer FROM nation")
+def shell_session(spark, d):
+    """Every nation is put, those of a region are deleted, and each is asked for, as lines of commands."""
+    nations = [tuple(r) for r in model.table(spark, d, "nation").select("n_nationkey", "n_regionkey", "n_name").orderBy("n_nationkey").collect()]
+    lines = [f"put {i} {name} of region {r}" for i, r, name in nations] + [f"delete {i}" for i, r, _ in nations if r == 1] + [f"get {i}" for i, _, _ in nations]
+    answers = list(shell.run(_store(spark), lines))[-len(nations) :]
+    return spark.createDataFrame([(name, a) for (_, _, name), a in zip(nations, answers, strict=True)], "k string, answer string")
+
+
+@query(f"SELECT filter, nbits, bit FROM {BITS}")
+def bloom_bytes_roundtrip(spark, d):
+    return bloom.from_bytes(bloom.to_bytes(_filters(spark, d), bloom.bits_per_key(1000, 0.01)))
+
+
+@query(f"SELECT printf('%016X', k) || '@' || cts AS shown, printf('%016X', k) AS key_hex, cts FROM {L}")
+def versioned_keys(spark, d):
+    """Keys with their timestamps, encoded and decoded, and as text."""
+    log = model.events_log(spark, d).select(model.encode_u64("k").alias("key"), "cts")
+    key, cts = model.decode_versioned(model.encode_versioned("key", "cts"))
+    return log.select(model.key_text("key", "cts").alias("shown"), F.hex(key).alias("key_hex"), cts.alias("cts"))
