@@ -1,8 +1,9 @@
 """Web pages as WARC 1.1 archives: written in page order by a deterministic sharded writer, and read back.
 
 Records are dealt by ranges of page_id and sorted within them, so files follow each other in page order. Every record is a
-gzip member of its own with headers and digests made anew; a file is rolled when its compressed size reaches a bound. Files
-are written under temporary names and renamed when whole; what counts is the manifest, which Spark commits last."""
+gzip member of its own with headers and digests made anew, and every file begins with a warcinfo record; a file is rolled when
+its compressed size reaches a bound. Files are written under temporary names and renamed when whole; what counts is the
+manifest, which Spark commits last."""
 
 from __future__ import annotations
 
@@ -39,23 +40,34 @@ def _uri(url: str) -> str:
     return re.sub(r"[\x00-\x20\x7f-\x9f  ]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
 
 
+def _member(head: list[tuple[str, str]], block: bytes, compress: int) -> bytes:
+    head = [*head, ("Content-Length", str(len(block)))]
+    return gzip.compress("WARC/1.1\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n", compress, mtime=0)
+
+
+def information(name: str, compress: int = 6) -> bytes:
+    """The warcinfo record of a file."""
+    block = b"software: palimpsest\r\nformat: WARC File Format 1.1\r\n"
+    head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(SPACE, name)}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("WARC-Block-Digest", f"sha1:{digest(block)}"), ("Content-Type", "application/warc-fields")]
+    return _member(head, block, compress)
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, copy: int = 0, compress: int = 6) -> bytes:
-    """A gzip member: a response, or a revisit where refers_to is given. copy numbers rows alike in page and payload."""
+    """A gzip member: a response, or a revisit where refers_to is given. copy numbers rows alike in page and payload. A page
+    without a url gets a name of its own, as these records must have one, and a header that says so."""
     sha = digest(payload)
     name = lambda page, n: f"<urn:uuid:{uuid.uuid5(SPACE, f'{page}/{sha}/{n}')}>"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", name(page_id, copy)), ("WARC-Date", DATE)]
-    if url is not None:
-        head.append(("WARC-Target-URI", _uri(url)))
+    head += [("WARC-Target-URI", _uri(url))] if url is not None else [("WARC-Target-URI", f"urn:page:{'none' if page_id is None else page_id}"), ("X-No-Url", "true")]
     head += [("WARC-Payload-Digest", f"sha1:{sha}"), ("WARC-Block-Digest", f"sha1:{digest(block)}")]
     if refers_to is not None:
         head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", name(refers_to, 0)), ("X-Refers-To-Page", str(refers_to))]
     if page_id is not None:
         head.append(("X-Page", str(page_id)))
-    head += [("X-Payload-Length", str(len(payload))), ("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
-    body = "WARC/1.1\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
-    return gzip.compress(body, compress, mtime=0)
+    head += [("X-Payload-Length", str(len(payload))), ("Content-Type", "application/http;msgtype=response")]
+    return _member(head, block, compress)
 
 
 class _Files:
@@ -69,7 +81,9 @@ class _Files:
     def add(self, page_id: int | None, member: bytes) -> dict | None:
         if self.out is None:
             self.temp = f"{self.path}/.{uuid.uuid4().hex}.tmp"
-            self.out, self.records, self.bytes, self.first, self.last = self.fs.open_output_stream(self.temp, compression=None), 0, 0, page_id, page_id
+            self.name = f"records-{self.part:06d}-{self.seq:06d}.warc.gz"  # any attempt writes the same bytes
+            self.out, self.records, self.first, self.last = self.fs.open_output_stream(self.temp, compression=None), 0, page_id, page_id
+            self.bytes = self.out.write(information(self.name))
         self.out.write(member)
         self.records, self.bytes = self.records + 1, self.bytes + len(member)
         self.first = page_id if self.first is None else self.first
@@ -81,10 +95,9 @@ class _Files:
             return None
         self.out.close()
         self.out = None
-        name = f"records-{self.part:06d}-{self.seq:06d}.warc.gz"  # any attempt writes the same bytes
-        self.fs.move(self.temp, f"{self.path}/{name}")
+        self.fs.move(self.temp, f"{self.path}/{self.name}")
         self.seq += 1
-        return {"part": self.part, "seq": self.seq - 1, "path": f"{self.folder}/{name}", "n_records": self.records, "n_bytes": self.bytes, "first_page": self.first, "last_page": self.last}
+        return {"part": self.part, "seq": self.seq - 1, "path": f"{self.folder}/{self.name}", "n_records": self.records, "n_bytes": self.bytes, "first_page": self.first, "last_page": self.last}
 
 
 def _writer(folder: str, roll_bytes: int, compress: int):
@@ -118,7 +131,7 @@ def write(pages: DataFrame, folder: str, *, least_bytes: int = 0, roll_bytes: in
     Of records with equal payloads of least_bytes or more, that with the smallest page_id is a response and the others
     revisit it; smaller ones are all responses. Defined results: a null page is an empty payload; of rows alike in page_id
     and payload the first is the response and the others revisit it; rows without page_id come first, revisit a page that
-    has one, and are all responses if none has; a null url is left out; an empty table gives an empty manifest; other
+    has one, and are all responses if none has; a null url is read back as null; an empty table gives an empty manifest; other
     columns are ignored. folder: a URI that executors reach."""
     shared.bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(content).cast("string"), F.lit("")).alias("html"), F.col(url).cast("string").alias("url"))
@@ -175,7 +188,9 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with fs.open_input_stream(at, compression=None) as f:
                 for member in members(f):
                     h, _ = parse(member)
-                    rows.append({"page_id": number(h.get("X-Page")), "url": h.get("WARC-Target-URI"), "payload_bytes": int(h["X-Payload-Length"]), "payload_digest": h["WARC-Payload-Digest"].removeprefix("sha1:"), "record_type": h["WARC-Type"], "refers_to": number(h.get("X-Refers-To-Page"))})
+                    if h["WARC-Type"] == "warcinfo":
+                        continue
+                    rows.append({"page_id": number(h.get("X-Page")), "url": None if "X-No-Url" in h else h["WARC-Target-URI"], "payload_bytes": int(h["X-Payload-Length"]), "payload_digest": h["WARC-Payload-Digest"].removeprefix("sha1:"), "record_type": h["WARC-Type"], "refers_to": number(h.get("X-Refers-To-Page"))})
                     if len(rows) == 5000:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows = []
