@@ -294,13 +294,15 @@ def similar_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_
         pairs = shared.kept(sketched.mapInArrow(_possible(percent), "a long, b long"))
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         ids, texts = sources(wanted)
-        sets = shared.kept(texts.mapInArrow(_blobs(shingle), "node long, set binary").dropDuplicates(["node"]))  # ids may repeat
+        # ids may repeat; a table that is read again has no partitioning, so Spark may split a popular leader's pairs
+        sets = shared.written(texts.mapInArrow(_blobs(shingle), "node long, set binary").dropDuplicates(["node"]), folder, f"{name}_sets")
         left = sets.select(F.col("node").alias("a"), F.col("set").alias("left"))
         right = sets.select(F.col("node").alias("b"), F.col("set").alias("right"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
         done = shared.written(both.mapInArrow(_similarities, "a long, b long, common long, union long").where(linked).select("a", "b").distinct(), folder, name)
-        for table in (pairs, ids, sets):
-            table.unpersist()
+        pairs.unpersist()
+        ids.unpersist()
+        shared.forget(spark, folder, f"{name}_sets")
         shared.release(spark)
         return done
 
