@@ -18,6 +18,8 @@ from palimpsest.llm import shared
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: So many different words may be written into a plan as a set; beyond, they are joined.
 MOST_LITERALS = 20_000
+#: Windows of one prefix word that a row holds.
+MOST_WINDOWS = 64
 
 
 def words(text: Column) -> Column:
@@ -79,15 +81,17 @@ def contamination(
     places = windows.select(F.xxhash64("words").alias("h"), "words", "items", F.posexplode("words").alias("place", "w")).withColumn("word", F.lower("w"))
     ranked = places.join(counts, "word", "left").withColumn("r", F.row_number().over(Window.partitionBy("h", "words").orderBy(F.col("held_by").asc_nulls_first(), "word", "place")))
     prefixes = ranked.where("r = 1 and held_by is not null").select("word", F.struct(F.col("place").alias("at"), "words", "items").alias("win"))
-    prefixes = shared.written(prefixes.groupBy("word").agg(F.collect_list("win").alias("wins")), folder, "prefixes")
+    some = F.floor((F.row_number().over(Window.partitionBy("word").orderBy("win")) - 1) / MOST_WINDOWS)  # a common word's windows are several rows
+    prefixes = shared.written(prefixes.withColumn("some", some).groupBy("word", "some").agg(F.collect_list("win").alias("wins")).drop("some"), folder, "prefixes")
+    sought = prefixes.select("word").distinct()
 
     held = read.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "words", *carried)
     reach = size - 1
-    if prefixes.count() > most_literals:
+    if sought.count() > most_literals:
         held = shared.written(held, folder, "held")  # row ids must be the same in both readings
-        placed = held.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"), *carried).join(_found(held, prefixes.select("word"), most_literals).select("rid", "words", "places"), "rid", "left")
+        placed = held.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"), *carried).join(_found(held, sought, most_literals).select("rid", "words", "places"), "rid", "left")
     else:
-        placed = _found(held, prefixes.select("word"), most_literals).withColumn("n_words", F.size("words").cast("long"))
+        placed = _found(held, sought, most_literals).withColumn("n_words", F.size("words").cast("long"))
     around = lambda i: F.struct(
         i.alias("place"), F.greatest(i - reach, F.lit(0)).alias("base"), F.lower(F.get("words", i)).alias("word"),
         F.transform(F.slice("words", F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + size), lowered).alias("near"),
@@ -106,10 +110,13 @@ def contamination(
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to"))
     step = lambda a, s: F.struct((a["n"] + F.greatest(s["e"] - F.greatest(s["s"], a["to"]), F.lit(0)).cast("long")).alias("n"), F.greatest(a["to"], s["e"]).alias("to"))
     by_row = by_row.select("rid", F.aggregate("spans", start, step)["n"].alias("n_hit"), "item_ids")
-    return placed.select("rid", "doc_id", "n_words", *carried).join(by_row, "rid", "left").select(
+    out = placed.select("rid", "doc_id", "n_words", *carried).join(by_row, "rid", "left").select(
         "doc_id", "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
         ((F.coalesce("n_hit", F.lit(0)) > 0) & (100 * F.coalesce("n_hit", F.lit(0)) >= percent * F.col("n_words"))).alias("contaminated"),
         *(F.col(n).alias(c) for n, c in carried.items()),
     )
+    out = shared.written(out, folder, "out")
+    shared.forget(spark, folder, "windows", "counts", "prefixes", "held", "placed")
+    return out
