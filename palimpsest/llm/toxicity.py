@@ -94,28 +94,21 @@ def disguised(texts: list[str]) -> list[list[str]]:
     (three or more) put together."""
     out = []
     for text in texts:
-        found: list[str] = []
-        tokens = text.split()
-        run: list[str] = []
-        for t in [*tokens, "  "]:
-            if len(t) == 1:
-                run.append(t)
-                continue
-            if len(run) > 2:
-                found.append("".join(run))
-            run = []
-        for t in set(tokens):
-            if not t.isalpha():
+        found = ["".join(run.split()) for run in SINGLES.findall(text)]
+        for t in set(text.split()):
+            if t.isalpha():
+                if TRIPLE.search(t):
+                    found.append(t.lower())
+            elif not t.strip(".,;:?\"'").isalpha():
                 core = EDGE.sub("", t).lower()
                 if not core.isalpha() and DISGUISE.search(core):
                     found.append(core)
-            elif TRIPLE.search(t):
-                found.append(t.lower())
         out.append([f.lower() for f in found if any(c.isalpha() for c in f)])
     return out
 
 
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
+SINGLES = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 
 
 class Restorer:
@@ -162,17 +155,39 @@ def _levels(text: np.ndarray, feature: np.ndarray, n_features: int) -> tuple[np.
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Three letters in a row, over the plain words of texts; everything but a-z is one character."""
-    got: Counter = Counter()
+    """Three letters in a row, over the plain words of texts: words of a-z, with marks around them or without."""
+    size = len(LETTERS) + 1
+    counts = np.zeros(size**3, np.int64)
+    letter = np.zeros(256, np.uint8)
+    letter[[*map(ord, LETTERS)]] = np.arange(1, size)
+    around = np.zeros(256, bool)
+    around[[*b".,;:?!\"'"]] = True
     for _, texts in shared.chunks(batches, "text"):
-        counts = Counter(t for text in texts.to_pylist() for t in text.lower().split())
-        for word, n in counts.items():
-            core = word.strip(".,;:?!\"'")
-            if core.isascii() and core.isalpha():
-                core = f"^^{core}^"
-                for i in range(len(core) - 2):
-                    got[core[i : i + 3]] += n
-    yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["g", "n"])
+        data, bounds = words.raw(pc.utf8_lower(texts))
+        starts, ends = words.runs(data, bounds)
+        if not len(starts):
+            continue
+        code = letter[data]
+        at = np.flatnonzero(code)
+        total = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
+        before, fit = total(code > 0), total((code > 0) | around[data])
+        first, last = before[starts], before[ends]  # letters of each word, by number
+        n = last - first
+        plain = (n > 0) & (fit[ends] - fit[starts] == ends - starts)
+        plain[plain] = at[last[plain] - 1] - at[first[plain]] + 1 == n[plain]  # no mark between letters
+        first, n = first[plain], n[plain]
+        heads = np.cumsum(n + 3) - (n + 3)
+        line = np.zeros(int((n + 3).sum()), np.int64)  # two edges, the letters, an edge, for each word
+        inside = np.repeat(heads + 2, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        line[inside] = code[at[np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]]
+        triple = np.ones(len(line), bool)
+        triple[heads], triple[heads + 1] = False, False  # these would reach into the word before
+        to = np.flatnonzero(triple)
+        counts += np.bincount((line[to - 2] * size + line[to - 1]) * size + line[to], minlength=size**3)
+    some = np.flatnonzero(counts)
+    shown = "^" + LETTERS
+    names = [shown[g // size**2] + shown[g // size % size] + shown[g % size] for g in some.tolist()]
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts[some])], names=["g", "n"])
 
 
 def _marks(letters: Letters):
