@@ -10,6 +10,8 @@ rank directory as u32; last the crc32 u32 of all before it."""
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import json
 import os
 import struct
@@ -137,16 +139,70 @@ class Numbered(dict):
         return n
 
 
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the collector of cycles, which would look at every one of many small lists."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+class Lists:
+    """Many short lists of numbers in one array, which grows by doubling."""
+
+    def __init__(self, kind):
+        self.flat, self.heads, self.counts = np.empty(1 << 10, kind), np.empty(1 << 8, np.int64), np.empty(1 << 8, np.int64)
+        self.used = 0
+
+    def _room(self, name: str, n: int) -> np.ndarray:
+        have = getattr(self, name)
+        if n > len(have):
+            more = np.empty(max(n, 2 * len(have)), have.dtype)
+            more[: len(have)] = have
+            setattr(self, name, more)
+        return getattr(self, name)
+
+    def put(self, numbers: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
+        """The lists of some numbers, end to end."""
+        if len(numbers):
+            to = int(numbers.max()) + 1
+            self._room("counts", to)[numbers] = counts
+            self._room("heads", to)[numbers] = self.used + np.cumsum(counts) - counts
+            self._room("flat", self.used + len(flat))[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+
+    def add(self, numbers: np.ndarray, lists: list[list[int]]) -> None:
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.put(numbers, counts, np.fromiter(chain.from_iterable(lists), self.flat.dtype, int(counts.sum())))
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of some numbers, end to end, and their lengths."""
+        counts = self.counts[at]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        narrow = np.int32 if max(total, self.used) < 1 << 31 else np.int64
+        place = np.arange(total, dtype=narrow)
+        place += np.repeat((self.heads[at] - (ends - counts)).astype(narrow), counts)
+        return self.flat[place], counts
+
+
 class WordIds:
     """Ids of white-space separated words, each distinct word encoded once.
 
     Where the vocabulary's pieces never cross white space, a text's ids are its words' ids in order. Plain words (printable
     ASCII and Latin-1 letters, for which normalisation is lower-casing) go through a byte-pair encoder built from the
     vocabulary's own ranks; all others go through the tokenizers library. Vocabularies that aren't of this kind encode whole
-    texts through the library."""
+    texts through the library. A full table of words becomes the old one, from which words are taken over when they occur."""
 
-    MOST_WORDS, MOST_BYTES = 150_000, 16 << 20
+    MOST_WORDS, MOST_BYTES = 250_000, 24 << 20
     END = b""  # never a word: stands for the end id
+    MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+    #: The vocabulary's own cuts, by which letters and marks are separate pieces. Fixed value.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     PLAIN = bytes([*range(9, 14), *range(32, 127), *range(0x80, 0xC0), 0xC3])
 
     def __init__(self, path: str, end_id: int):
@@ -154,13 +210,17 @@ class WordIds:
         self.slow = Tokenizer.from_file(path)
         self.plain = regex.compile(r"(?:(?!<\|)[\x21-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF])+")
         self.fast, self.pieces = self._encoder(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index = Numbered({self.END: 0})
+        self.index, self.table = Numbered(), Lists(np.uint32)
+        self._next()
+
+    def _next(self) -> None:
+        self.index.new = []
+        self.old, self.old_table = self.index, self.table
+        self.index, self.table = Numbered({self.END: 0}), Lists(np.uint32)
+        self.table.add(np.zeros(1, np.int64), [[self.end_id]])
         self.known: dict[str, list[int]] = {}
+        self.tails: dict[bytes, list[int]] = {}
         self.size = 0
-        self.flat, self.counts, self.heads = np.array([self.end_id], np.uint32), np.array([1], np.int64), np.array([0], np.int64)
 
     @staticmethod
     def _encoder(path: str):
@@ -206,6 +266,12 @@ class WordIds:
             got = self.known[piece] = self.fast.encode_single_piece(piece.encode() + b"\xff")
         return got
 
+    def _marks(self, tail: bytes) -> list[int]:
+        got = self.tails.get(tail)
+        if got is None:
+            got = self.tails[tail] = self.fast.encode_single_piece(tail + b"\xff")
+        return got
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with its end id, and how many each text has."""
         if self.fast is None:
@@ -221,18 +287,31 @@ class WordIds:
             words.append(self.END)
             lasts[i] = len(words)
         if len(self.index) > self.MOST_WORDS or self.size > self.MOST_BYTES:
-            self._clear()
+            self._next()
+        first = len(self.index)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if new := self.index.new:
-            got = [self._ids(w, plain) for w in new]
+            before = np.fromiter((self.old.get(w, -1) for w in new), np.int64, len(new))
+            numbers, had = np.arange(first, first + len(new)), before >= 0
+            flat, counts = self.old_table.take(before[had])
+            self.table.put(numbers[had], counts, flat)
+            unseen = [w for w, b in zip(new, before.tolist(), strict=True) if b < 0]
+            with uncollected():
+                if special:
+                    got = [self._ids(w, plain) for w in unseen]
+                else:  # these are lower case; a word of ASCII letters is one piece, marks behind it are another
+                    piece, marks = self.fast.encode_single_piece, self.MARKS if self.pieces.pattern == self.PATTERN else b""
+                    got = [
+                        piece(w + b"\xff") if w.isalpha()
+                        else piece(core + b"\xff") + self._marks(w[len(core) :]) if (core := w.rstrip(marks)).isalpha() and core != w
+                        else self._ids(w, plain)
+                        for w in unseen
+                    ]
+            self.table.add(numbers[~had], got)
             self.size += sum(map(len, new))
-            self.counts = np.concatenate([self.counts, np.fromiter(map(len, got), np.int64, len(got))])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32)])
-            self.heads = np.cumsum(self.counts) - self.counts
             self.index.new = []
-        counts = self.counts[at]
+        ids, counts = self.table.take(at)
         ends = np.cumsum(counts)
-        ids = self.flat[np.arange(int(ends[-1])) + np.repeat(self.heads[at] - (ends - counts), counts)] if len(words) else np.zeros(0, np.uint32)
         return ids, np.diff(ends[lasts - 1], prepend=0) if len(lasts) else np.zeros(0, np.int64)
 
 
@@ -269,8 +348,8 @@ def _writer(tokenizer: str, end_id: int, folder: str, ids_per_file: int):
             docs, counts, ids, held, seq = [], [], [], 0, seq + 1
             return pa.RecordBatch.from_pylist([row])
 
-        for rows, texts in shared.chunks(batches, "text", min(ids_per_file, shared.CHUNK_BYTES)):
-            got, n = codes.encode([t.as_py() for t in texts.cast(pa.binary())])
+        for rows, texts in shared.chunks(batches, "text", min(ids_per_file, 2 * shared.CHUNK_BYTES)):
+            got, n = codes.encode(texts.cast(pa.binary()).to_pylist())
             docs += rows.column(0).to_pylist()
             counts.append(n)
             ids.append(got)
