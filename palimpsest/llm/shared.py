@@ -64,6 +64,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             to = max(at + 1, int(ends.searchsorted(base + most, "right")))
             yield batch.slice(at, to - at), texts.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task keeps little
 
 
 def by_ids(rows: DataFrame, ids: DataFrame, condition, how: str) -> DataFrame:
