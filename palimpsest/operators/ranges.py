@@ -30,7 +30,9 @@ def nodes(low: Column, high: Column) -> Column:
     top = F.lit(LEVELS - 1)
     first, last = bounds(top)
     rest = F.when(first <= last, F.transform(F.sequence(first, last), lambda n: F.struct(top.alias("level"), n.alias("n"))))  # four at most
-    each = F.concat(F.flatten(F.transform(F.sequence(F.lit(0), top - 1), at)), F.coalesce(rest, F.array().cast("array<struct<level:int,n:bigint>>")))
+    span = F.greatest(high.cast("double") - low.cast("double") + 1, F.lit(1.0))
+    below = F.least(F.ceil(F.log2(span)).cast("int") + 1, top - 1)  # a range has no node that is larger than it
+    each = F.concat(F.flatten(F.transform(F.sequence(F.lit(0), below), at)), F.coalesce(rest, F.array().cast("array<struct<level:int,n:bigint>>")))
     return F.when(low <= high, F.filter(each, lambda x: x.isNotNull()))
 
 
